@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm import bpe, chat, decontaminate, langid, linededup, neardup, secrets, sharding
+from veilwork.llm import bpe, chat, decontaminate, embeddings, langid, linededup, neardup, pii, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,16 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows.unionByName(own))).select(F.col("conv").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_lines, op4_decontamination, op5_sharding, op6_langid, op7_neardup, op8_chat)}
+    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_lines, op4_decontamination, op5_sharding, op6_langid, op7_neardup, op8_chat, op9_pii, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
