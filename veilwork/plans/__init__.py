@@ -1 +1,13 @@
+"""Registered queries of the engine's own operators."""
 
+from veilwork.plans import redaction
+
+MODULES = (redaction,)
+
+
+def queries() -> dict:
+    return {k: f for m in MODULES for k, f in m.query.queries.items()}
+
+
+def oracle_sql() -> dict:
+    return {k: s for m in MODULES for k, s in m.query.sql.items()}
