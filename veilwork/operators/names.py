@@ -94,7 +94,7 @@ def addresses(df: DataFrame, key: str, text: str) -> DataFrame:
     x = x.withColumn("after", F.col("street.start") + F.length("street.text") - 1)
     tail = F.expr("substring(raw, after + 1)")
     codes = F.filter(matches(tail, POSTAL.replace("(", "(?:").replace("(?:?:", "(?:")), lambda m: ~F.regexp_replace(m["text"], "[^A-Za-z0-9 ]", "").rlike("^ ?(?:19|20)[0-9]{2} ?$"))
-    x = x.withColumn("codes", codes).where(F.size("codes") > 0).withColumn("code", F.element_at("codes", -1))
+    x = x.withColumn("codes", codes).where(F.size("codes") > 0).withColumn("code", F.try_element_at("codes", F.lit(-1)))
     lead = F.regexp_extract(F.expr("substring(raw, 1, street.start)"), UNIT, 0)
     stop = F.col("after") + F.col("code.start") + F.length(F.regexp_replace("code.text", "[^A-Za-z0-9]$", ""))
     begin = F.col("street.start") - F.length(lead)

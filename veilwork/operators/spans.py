@@ -156,7 +156,7 @@ def cover(spans: DataFrame, key: str) -> DataFrame:
     kind = "array<struct<start:int,end:int>>"
 
     def step(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
+        last = F.try_element_at(out, F.lit(-1))
         joins = (F.size(out) > 0) & (F.get(out, F.size(out) - 1)["end"] >= s["start"])
         wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
         return F.when(joins, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(out, F.array(s)))

@@ -1,8 +1,8 @@
 """Registered queries of the engine's own operators."""
 
-from veilwork.plans import redaction
+from veilwork.plans import redaction, words
 
-MODULES = (redaction,)
+MODULES = (redaction, words)
 
 
 def queries() -> dict:
