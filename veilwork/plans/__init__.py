@@ -1,8 +1,8 @@
 """Registered queries of the engine's own operators."""
 
-from veilwork.plans import redaction, words
+from veilwork.plans import pages, redaction, words
 
-MODULES = (redaction, words)
+MODULES = (redaction, words, pages)
 
 
 def queries() -> dict:
