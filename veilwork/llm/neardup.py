@@ -19,12 +19,17 @@ from pyspark.sql import functions as F
 
 from veilwork.llm.bpe import slices
 from veilwork.llm.common import Workspace, components, small
-from veilwork.llm.linkage import candidates, link
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair with the least similarity shares a band with probability 1 - (1 - 0.8^3)^10 > 0.999.
 BANDS, ROWS = 10, 3
 DF_BITS = 18
+#: Pairs of which fewer samples agree aren't compared exactly. A pair with the
+#: least similarity has so few with a probability under 0.001.
+LEAST_EQUAL = 17
+#: Buckets of more members are compared in blocks, not as pairs; a block has
+#: about so many members, and texts of about so many bytes.
+FEW, BLOCK, BLOCK_BYTES = 16, 1024, 8 << 20
 #: Words whose hash a worker remembers.
 CACHE = 300_000
 
@@ -114,10 +119,11 @@ class Sampler:
         self.beta = u[4].astype(np.float32)
         self.by = rng.integers(0, 1 << 63, samples, dtype=np.uint64) * _U(2) + _U(1)
 
-    def bands(self, doc: np.ndarray, h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of the texts that have shingles, their band keys)."""
+    def bands(self, doc: np.ndarray, h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the texts that have shingles, their band keys, and 16
+        bits of each of their samples."""
         if not len(h):
-            return np.zeros(0, np.int64), np.zeros((0, BANDS), np.int64)
+            return np.zeros(0, np.int64), np.zeros((0, BANDS), np.int64), np.zeros((0, self.samples), np.uint16)
         log_w = np.log(count * self.idf[bucket(h)]).astype(np.float32)
         starts = np.flatnonzero(np.diff(doc, prepend=-1))
         segment = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(doc))))
@@ -136,19 +142,71 @@ class Sampler:
             for j in range(ROWS):
                 x = mix(x * _MULTIPLY[2] + prints[b * ROWS + j])
             keys[b] = x
-        return doc[starts], keys.T.astype(np.int64)
-
-
-def similarity(a: list[str | None], b: list[str | None], idf: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard similarity of a[i] and b[i]; 0 where one has no shingle."""
-    n = len(a)
-    (da, ha, ca), (db, hb, cb) = shingles(a), shingles(b)
-    wa, wb = idf[bucket(ha)], idf[bucket(hb)]
-    both = np.bincount(da, weights=ca * wa, minlength=n) + np.bincount(db, weights=cb * wb, minlength=n)
-    ka, kb = (da.astype(np.uint64) << _U(48)) | ha, (db.astype(np.uint64) << _U(48)) | hb
-    _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    common = np.bincount(da[ia], weights=np.minimum(ca[ia], cb[ib]) * wa[ia], minlength=n)
-    return np.divide(common, both - common, out=np.zeros(n), where=both > common)
+        return doc[starts], keys.T.astype(np.int64), (prints.T & _U(0xFFFF)).astype(np.uint16)
+
+
+class Texts:
+    """Shingles of some texts, to compare pairs of them."""
+
+    def __init__(self, texts: list[str | None], idf: np.ndarray):
+        doc, self.h, self.count = shingles(texts)
+        self.sizes = np.bincount(doc, minlength=len(texts))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.w = idf[bucket(self.h)]
+        self.total = np.bincount(doc, weights=self.count * self.w, minlength=len(texts))
+
+    def _rows(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.sizes[docs]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - self.starts[docs], n)
+        return at, (np.repeat(np.arange(len(docs)), n).astype(np.uint64) << _U(48)) | self.h[at]
+
+    def similarity(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarity of texts i[k] and j[k]; 0 where one has
+        no shingle. At most 65,536 pairs."""
+        (at, ka), (bt, kb) = self._rows(i), self._rows(j)
+        both, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+        common = np.bincount((both >> _U(48)).astype(np.int64), weights=np.minimum(self.count[at[ia]], self.count[bt[ib]]) * self.w[at[ia]], minlength=len(i))
+        union = self.total[i] + self.total[j] - common
+        return np.divide(common, union, out=np.zeros(len(i)), where=union > 0)
+
+
+def compare_block(texts: list[str], prints: np.ndarray, labels: np.ndarray, first: np.ndarray, second: np.ndarray | None, idf: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, j) that join what the links between texts `first` and
+    `second` (None: among `first`) join, beyond equal labels. Pairs come by
+    their estimated similarity; once two texts are joined, they aren't compared."""
+    found_i, found_j, found_n = [], [], []
+    for at in range(0, len(first), 512):
+        a = first[at : at + 512]
+        b = first[at:] if second is None else second
+        equal = np.zeros((len(a), len(b)), np.uint8)
+        for k in range(prints.shape[1]):
+            equal += prints[a, k][:, None] == prints[b, k][None, :]
+        i, j = np.nonzero((equal >= LEAST_EQUAL) & (labels[a][:, None] != labels[b][None, :]))
+        found_i.append(a[i])
+        found_j.append(b[j])
+        found_n.append(equal[i, j])
+    i, j, n = map(np.concatenate, (found_i, found_j, found_n))
+    order = np.argsort(-n.astype(np.int64), kind="stable")
+    i, j = i[order], j[order]
+    out_i, out_j = [], []
+    if len(i):
+        known = Texts(texts, idf)
+        _, root = np.unique(labels, return_inverse=True)
+        step = 2048
+        while len(i):
+            a, b, i, j = i[:step], j[:step], i[step:], j[step:]
+            for at in range(0, len(a), 256):  # bounds the shingles that are laid out at once
+                x, y = a[at : at + 256], b[at : at + 256]
+                sure = known.similarity(x, y) >= threshold
+                for p, q in zip(x[sure].tolist(), y[sure].tolist()):
+                    rp, rq = root[p], root[q]
+                    if rp != rq:
+                        root[root == max(rp, rq)] = min(rp, rq)
+                        out_i.append(p)
+                        out_j.append(q)
+            open_ = root[i] != root[j]
+            i, j = i[open_], j[open_]
+    return np.array(out_i, np.int64), np.array(out_j, np.int64)
 
 
 def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -173,36 +231,89 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", thre
         sampler = Sampler(idf.value)
         for batch in batches:
             for part in slices(batch, 2, 2 << 20):
-                at, keys = sampler.bands(*shingles(part.column(2).to_pylist()))
+                at, keys, prints = sampler.bands(*shingles(part.column(2).to_pylist()))
                 offsets = np.zeros(part.num_rows + 1, np.int32)
                 offsets[at + 1] = BANDS
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(keys.ravel()))
+                samples = [None] * part.num_rows
+                for i, p in zip(at.tolist(), prints):
+                    samples[i] = p.tobytes()
                 null = part.column(2).is_null()
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, null], names=["doc", "node", "bands", "blank"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, pa.array(samples, pa.binary()), null], names=["doc", "node", "bands", "prints", "blank"])
 
-    signed = ws.write(src.mapInArrow(sign, "doc long, node long, bands array<long>, blank boolean").withColumn("row", F.monotonically_increasing_id()))
+    signed = ws.write(src.mapInArrow(sign, "doc long, node long, bands array<long>, prints binary, blank boolean").withColumn("row", F.monotonically_increasing_id()))
     # a null text equals nothing: its node is its row
     rows = signed.select("doc", "row", F.when(F.col("blank"), F.xxhash64(F.lit("null"), "row")).otherwise(F.col("node")).alias("node"))
-    pairs, members = candidates(signed.select("node", F.explode("bands").alias("key")).distinct(), ws)
-    wanted = ws.write(pairs.selectExpr("stack(2, a, b) as node").union(members.select("node")).distinct())
-    # of each text that is to be compared the row with the least id
-    one = ws.write(signed.join(small(ws, wanted), "node", "left_semi").groupBy("node").agg(F.min("doc").alias("d")))
-    one = small(ws, one).withColumnRenamed("node", "n1")
-    texts = ws.write(src.join(one, (F.col("node") == F.col("n1")) & F.col("doc").eqNullSafe(F.col("d"))).select("node", "text").dropDuplicates(["node"]))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 2, 1 << 20):
-                like = similarity(part.column(2).to_pylist(), part.column(3).to_pylist(), idf.value)
-                yield part.select(["a", "b"]).filter(pa.array(like >= threshold))
-
-    def verify(todo: DataFrame) -> DataFrame:
-        ta, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-        return todo.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
-
-    comp = components(link(pairs, members, verify, ws), ws)
+    comp = components(_links(signed, src, idf, threshold, ws), ws)
     least = F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "row"))
     nodes = ws.write(rows.groupBy("node").agg(least.alias("least"), F.count("*").alias("n")).join(comp, "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root")))
     classes = nodes.groupBy("root").agg(F.min("least").alias("first"), F.sum("n").alias("class_size"))
     of_node = ws.write(nodes.join(classes, "root").select("node", F.col("first.doc").alias("class_id"), F.col("first.row").alias("kept_row"), "class_size"))
     return rows.join(of_node, "node").select(F.col("doc").alias(doc), "class_id", (F.col("row") == F.col("kept_row")).alias("kept"), "class_size", "node")
+
+
+def _links(signed: DataFrame, src: DataFrame, idf, threshold: float, ws: Workspace) -> DataFrame:
+    """Edges (a, b) between nodes that join what all links join."""
+    buckets = signed.select("node", F.explode("bands").alias("key")).distinct()
+    keys = ws.write(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = ws.write(buckets.join(small(ws, keys), "key").select("key", "node", "n"))
+    # of each text that is to be compared the row with the least id
+    one = ws.write(signed.join(small(ws, ws.write(members.select("node").distinct())), "node", "left_semi").groupBy("node").agg(F.min("doc").alias("d")))
+    one = small(ws, one).withColumnRenamed("node", "n1")
+    here = (F.col("node") == F.col("n1")) & F.col("doc").eqNullSafe(F.col("d"))
+    samples = signed.join(one, here).select("node", "prints").dropDuplicates(["node"])
+    texts = ws.write(src.join(one, here).select("node", "text").dropDuplicates(["node"]).join(samples, "node"))
+
+    # few members: all pairs, of which there are at most FEW / 2 for a member
+    few = members.where(F.col("n") <= FEW).select("key", F.col("node").alias("a"))
+    pairs = ws.write(few.join(few.withColumnRenamed("a", "b"), "key").where("a < b").select("a", "b").distinct())
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 3, 1 << 20):
+                pa_, pb = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint16).reshape(part.num_rows, -1) for k in (4, 5))
+                part = part.filter(pa.array((pa_ == pb).sum(axis=1) >= LEAST_EQUAL))
+                n = part.num_rows
+                both = Texts(part.column(2).to_pylist() + part.column(3).to_pylist(), idf.value)
+                like = both.similarity(np.arange(n), np.arange(n) + n)
+                yield part.select(["a", "b"]).filter(pa.array(like >= threshold, pa.bool_()))
+
+    ta, tb = (texts.select(F.col("node").alias(k), F.col("text").alias(f"t{k}"), F.col("prints").alias(f"p{k}")) for k in "ab")
+    some = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb", "pa", "pb").mapInArrow(compare, "a long, b long")
+
+    # many: blocks. First each node in its largest bucket only, among its block
+    many = members.where(F.col("n") > FEW)
+    home = many.groupBy("node").agg(F.max(F.struct("n", "key")).alias("m")).select("node", F.col("m.key").alias("key"), F.col("m.n").alias("n"))
+    home = home.join(texts, "node").withColumn("label", F.col("node"))
+    weight = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    spans = home.groupBy("key").agg(F.max("n").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).select("key", weight.alias("blocks"))
+    home = home.join(spans, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+
+    def compare_group(table: pa.Table) -> pa.Table:
+        side, node = table["side"].to_numpy(), table["node"].to_numpy()
+        prints = np.frombuffer(b"".join(table["prints"].to_pylist()), np.uint16).reshape(len(node), -1)
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        i, j = compare_block(table["text"].to_pylist(), prints, table["label"].to_numpy(), first, second if side.any() else None, idf.value, threshold) if len(first) else (first, first)
+        return pa.table({"a": pa.array(node[i], pa.int64()), "b": pa.array(node[j], pa.int64())})
+
+    cols = ["key", "i", "j", "side", "node", "label", "prints", "text"]
+    inner = home.withColumn("j", F.lit(-1)).withColumn("side", F.lit(0)).select(cols).groupBy("key", "i", "j").applyInArrow(compare_group, "a long, b long")
+    edges = ws.write(some.union(inner))
+
+    # then what lies in one bucket, but outside its largest component, with all others
+    comp = ws.write(components(edges, ws))
+    labelled = ws.write(many.join(small(ws, comp), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("label")))
+    main = labelled.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("total"), F.count("*").alias("labels"))
+    mixed = ws.write(main.where("labels > 1").select("key", F.col("m.label").alias("main"), (F.col("total") - F.col("m.n")).alias("minor")))
+    if mixed.isEmpty():
+        return edges
+    full = labelled.join(small(ws, mixed), "key").join(texts, "node")
+    sized = full.groupBy("key").agg(F.max("n").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).select("key", weight.alias("blocks"))
+    full = full.join(sized, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = full.where("label <> main").withColumn("j", F.explode(every)).withColumn("side", F.lit(0)).select(cols)
+    # only blocks that hold some of the others
+    opposite = left.select("key", F.col("i").alias("x")).distinct()
+    right = full.withColumnRenamed("i", "j").join(opposite, "key").withColumnRenamed("x", "i").withColumn("side", F.lit(1)).select(cols)
+    outer = left.union(right).groupBy("key", "i", "j").applyInArrow(compare_group, "a long, b long")
+    return ws.write(edges.union(outer))
