@@ -1,8 +1,8 @@
 """Registered queries of the engine's own operators."""
 
-from veilwork.plans import pages, redaction, words
+from veilwork.plans import pages, pictures, redaction, words
 
-MODULES = (redaction, words, pages)
+MODULES = (redaction, words, pages, pictures)
 
 
 def queries() -> dict:
