@@ -129,7 +129,7 @@ def phrases(df: DataFrame, key: str, text: str, term: str, connectors: int = 1)
     with parts that are used up, which no built-in expresses."""
     parts = [w for w in term.split() if w.lower() not in t.STOP_WORDS]
 
-    @F.udf("array<struct<start:int,end:int>>")
+    @F.udf(returnType="array<struct<start:int,end:int>>")
     def find(s):
         return phrase_hits(s, parts, connectors) if s else []
 
