@@ -61,8 +61,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
     the normalised line), sig. The words are counted where they are read;
     only the lanes go through the shuffle."""
     lines = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-    lines = lines.select("row", "doc", "th", "line", words_of(F.col("raw")).alias("words")).where(F.size("words") >= MIN_WORDS)
-    lines = lines.select("row", "doc", "th", "line", F.xxhash64("words").alias("h"), F.array_distinct("words").alias("words")).withColumn("n", F.size("words"))
+    # a generator's output is computed once; a projection's would be for each use
+    once = lambda **cols: F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()])))
+    lines = lines.select("row", "doc", "th", "line", once(words=words_of(F.col("raw")))).where(F.size("words") >= MIN_WORDS)
+    lines = lines.select("row", "doc", "th", "line", once(h=F.xxhash64("words"), words=F.array_distinct("words"))).withColumn("n", F.size("words"))
     each = lines.select("row", "doc", "th", "line", "n", "h", F.posexplode("words").alias("at", "word"))
     each = each.select("row", "line", F.expr(f"at div {LANE}").alias("part"), "doc", "th", "h", "n", F.xxhash64("word").alias("x"))
     lanes = [F.sum(F.shiftrightunsigned("x", i).bitwiseAND(F.lit(_BYTES))).alias(f"s{i}") for i in range(8)]
@@ -83,10 +85,12 @@ def bucket_keys(sig: Column) -> Column:
 
 
 def similar(a: str, b: str, threshold: float) -> Column:
-    longer = F.greatest(F.length(a), F.length(b))
-    most = F.floor(longer * (1 - threshold) + 1e-9).cast("int")
-    within = F.expr(f"levenshtein({a}, {b}, cast(floor(greatest(length({a}), length({b})) * {1 - threshold!r} + 1e-9) as int)) >= 0")
-    return (F.abs(F.length(a) - F.length(b)) <= most) & within
+    """Whether the edit similarity of two columns reaches the threshold. Most
+    links need few edits, so narrow bands of the distance come first."""
+    longer = f"greatest(length({a}), length({b}))"
+    most = f"cast(floor({longer} * {1 - threshold!r} + 1e-9) as int)"
+    tries = " or ".join(f"levenshtein({a}, {b}, {k}) >= 0" for k in (f"cast({most} div 16 as int)", f"cast({most} div 4 as int)", most))
+    return F.expr(f"abs(length({a}) - length({b})) <= {most} and ({tries})")
 
 
 def removed_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = SIMILARITY, ws: Workspace | None = None) -> DataFrame:
