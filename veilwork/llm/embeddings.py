@@ -30,7 +30,6 @@ BLOCK = 8192
 RADII = (1.0, 0.5, 0.25)
 #: Rows of a distance matrix at a time; pairs that are compared one by one.
 TILE, FLAT = 2048, 4096
-_SLACK = 1e-7
 
 
 def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
@@ -51,9 +50,31 @@ def distance(cosines: np.ndarray) -> np.ndarray:
 
 class Level:
     """Nodes of one radius over some rows: a centre, its rows, the largest
-    distance of a row from it."""
+    distance of a row from it. owner: the number of each row's centre, if the
+    level has been built before."""
 
-    def __init__(self, x: np.ndarray, rows: np.ndarray, radius: float):
+    def __init__(self, x: np.ndarray, rows: np.ndarray, radius: float, centres: np.ndarray | None = None, owner: np.ndarray | None = None):
+        if owner is None:
+            centres, owner = self.build(x, rows, radius)
+        order = np.argsort(owner, kind="stable")
+        self.centres, self.rows = centres, rows[order]
+        self.sizes = np.bincount(owner, minlength=len(centres))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        gap = x[rows].astype(np.float64) - x[centres[owner]]
+        self.radius = np.zeros(len(centres))
+        # the slack covers what single precision leaves out
+        np.maximum.at(self.radius, owner, np.where(rows == centres[owner], 0, np.sqrt(np.einsum("ij,ij->i", gap, gap)) + 1e-6))
+        # by radius, so that a tile's largest tells much about its nodes
+        by = np.argsort(self.radius, kind="stable")
+        self.centres, self.sizes, self.starts, self.radius = (v[by] for v in (self.centres, self.sizes, self.starts, self.radius))
+        single = int((self.radius == 0).sum())
+        cuts = [*range(0, single, TILE), *range(single, len(by), TILE // 8), len(by)]
+        self.tiles = list(zip(cuts, cuts[1:]))
+
+    @staticmethod
+    def build(x: np.ndarray, rows: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """Centres, each farther than the radius from those before, and the
+        number of the centre that each row is within the radius of."""
         centres = np.zeros(0, np.int64)
         owner = np.full(len(rows), -1)
         cut = 1 - radius * radius / 2
@@ -68,50 +89,61 @@ class Level:
             free = np.flatnonzero(own < 0)
             if len(free):
                 near = x[part[free]] @ x[part[free]].T >= cut
+                np.fill_diagonal(near, True)
                 open_ = np.ones(len(free), bool)
                 new = []
                 for i in range(len(free)):
                     if open_[i]:
                         hit = near[i] & open_
-                        hit[i] = True
                         own[free[hit]] = len(centres) + len(new)
                         open_ &= ~hit
                         new.append(part[free[i]])
                 centres = np.concatenate([centres, np.array(new, np.int64)])
-        order = np.argsort(owner, kind="stable")
-        self.centres, self.rows = centres, rows[order]
-        self.sizes = np.bincount(owner, minlength=len(centres))
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        d = distance(np.einsum("ij,ij->i", x[rows], x[centres[owner]])) if len(rows) else np.zeros(0)
-        self.radius = np.zeros(len(centres))
-        np.maximum.at(self.radius, owner, d)
+        return centres, owner
 
     def members(self, node: int) -> np.ndarray:
         return self.rows[self.starts[node] : self.starts[node] + self.sizes[node]]
 
 
-def traverse(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, cosine: float, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of rows a of x and b of y that may reach the cosine; all
-    that do are among them."""
-    link = float(np.sqrt(2 - 2 * cosine)) + _SLACK
-    if depth == len(RADII) or len(a) * len(b) <= FLAT:
-        for at in range(0, len(a), TILE):
-            for bt in range(0, len(b), TILE):
-                i, j = np.nonzero(x[a[at : at + TILE]] @ y[b[bt : bt + TILE]].T >= cosine - _SLACK)
-                yield a[at + i], b[bt + j]
-        return
-    la, lb = Level(x, a, RADII[depth]), Level(y, b, RADII[depth])
-    for at in range(0, len(la.centres), TILE):
-        ca, ra = x[la.centres[at : at + TILE]], la.radius[at : at + TILE, None]
-        for bt in range(0, len(lb.centres), TILE):
-            d = distance(ca @ y[lb.centres[bt : bt + TILE]].T)
-            i, j = np.nonzero(d <= ra + lb.radius[bt : bt + TILE] + link)
-            i, j = i + at, j + bt
+def traverse(x: np.ndarray, la: Level, lb: Level, cosine: float, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows of la and lb that may reach the cosine; all that
+    do are among them, once. x: unit vectors in single precision."""
+    slack = 2e-7 * (x.shape[1] + 16)
+    link = float(np.sqrt(2 - 2 * cosine)) + 1e-4
+    for at, au in la.tiles:
+        ca, ra = x[la.centres[at:au]], la.radius[at:au]
+        for bt, bu in lb.tiles:
+            if la is lb and bt < at:
+                continue
+            rb = lb.radius[bt:bu]
+            near = ca @ x[lb.centres[bt:bu]].T
+            # first by the largest radii, then each pair by its own
+            i, j = np.nonzero(near >= 1 - min(ra[-1] + rb[-1] + link, 2.0) ** 2 / 2 - slack)
+            reach = np.minimum(ra[i] + rb[j] + link, 2.0)
+            close = near[i, j] >= 1 - reach**2 / 2 - slack
+            i, j = i[close] + at, j[close] + bt
+            if la is lb:  # a pair of nodes comes once
+                i, j = i[i <= j], j[i <= j]
             sizes = la.sizes[i] * lb.sizes[j]
             large = sizes > FLAT
             for p, q in zip(i[large].tolist(), j[large].tolist()):
-                yield from traverse(x, la.members(p), y, lb.members(q), cosine, depth + 1)
-            yield from _products(la, lb, i[~large], j[~large], sizes[~large])
+                same = la is lb and p == q
+                a, b = la.members(p), lb.members(q)
+                if depth + 1 < len(RADII):
+                    below = Level(x, a, RADII[depth + 1])
+                    yield from traverse(x, below, below if same else Level(x, b, RADII[depth + 1]), cosine, depth + 1)
+                    continue
+                for u in range(0, len(a), TILE):
+                    for v in range(0, len(b), TILE):
+                        k, m = np.nonzero(x[a[u : u + TILE]] @ x[b[v : v + TILE]].T >= cosine - slack)
+                        k, m = a[u + k], b[v + m]
+                        yield (k[k < m], m[k < m]) if same else (k, m)
+            small = (~large) & ((i != j) if la is lb else True)
+            yield from _products(la, lb, i[small], j[small], sizes[small])
+            if la is lb:
+                own = (~large) & (i == j)
+                for k, m in _products(la, lb, i[own], j[own], sizes[own]):
+                    yield k[k < m], m[k < m]
 
 
 def _products(la: Level, lb: Level, i: np.ndarray, j: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -149,14 +181,18 @@ def compare_blocks(table: pa.Table, cosine: float = COSINE) -> pa.Table:
     side = table["side"].to_numpy()
     node, copies = table["node"].to_numpy(), table["copies"].to_numpy()
     raw = np.frombuffer(b"".join(table["vec"].to_pylist()), np.float64).reshape(table.num_rows, -1)
-    unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
     norm = np.linalg.norm(raw, axis=1)
+    unit = (raw / norm[:, None]).astype(np.float32)
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     own = not len(b)
     links, left, right = np.zeros(len(node), np.int64), [], []
-    for i, j in traverse(unit, a, unit, a if own else b, cosine):
-        if own:
-            i, j = i[i < j], j[i < j]
+    levels = []
+    for rows in (a,) if own else (a, b):
+        # the block's first level comes with it: each row's centre
+        names, owner = np.unique(table["centre"].to_numpy()[rows], return_inverse=True)
+        order = np.argsort(node[rows])
+        levels.append(Level(unit, rows, RADII[0], rows[order[np.searchsorted(node[rows], names, sorter=order)]], owner))
+    for i, j in traverse(unit, levels[0], levels[-1], cosine):
         for at in range(0, len(i), 1 << 18):
             p, q = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
             sure = np.einsum("ij,ij->i", raw[p], raw[q]) / (norm[p] * norm[q]) >= cosine
@@ -238,7 +274,7 @@ def _links(nodes: DataFrame, n: int, cosine: float, ws: Workspace) -> DataFrame:
     sizes = {r["cell"]: (r["n"], r["r"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect()}
     pieces = {c: -(-m // BLOCK) for c, (m, _) in sizes.items()}
     # at most CELLS squared pairs of cells
-    link = float(np.sqrt(2 - 2 * cosine)) + _SLACK
+    link = float(np.sqrt(2 - 2 * cosine)) + 1e-4
     apart = distance(centres @ centres.T)
     close = [(c, e, pieces[c], pieces[e]) for c in sizes for e in sizes if c <= e and apart[c, e] <= sizes[c][1] + sizes[e][1] + link]
     pairs = spark.createDataFrame(close, "c int, e int, nc int, ne int")
@@ -246,7 +282,15 @@ def _links(nodes: DataFrame, n: int, cosine: float, ws: Workspace) -> DataFrame:
     pairs = ws.write(pairs.repartition(max(1, min(len(close), 64))))
     count = F.get(F.array(*[F.lit(pieces.get(c, 1)) for c in range(len(centres))]), F.col("cell"))
     blocks = placed.withColumn("piece", F.pmod(F.xxhash64(F.lit(5), "node"), count.cast("long")).cast("int")).select("node", "copies", "cell", "piece", "vec")
+
+    def first_level(table: pa.Table) -> pa.Table:
+        raw = np.frombuffer(b"".join(table["vec"].to_pylist()), np.float64).reshape(table.num_rows, -1)
+        unit = (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
+        centres, owner = Level.build(unit, np.arange(len(unit)), RADII[0])
+        return table.append_column("centre", pa.array(table["node"].to_numpy()[centres[owner]]))
+
+    blocks = ws.write(blocks.groupBy("cell", "piece").applyInArrow(first_level, "node long, copies long, cell int, piece int, vec binary, centre long"))
     left = blocks.join(pairs, (F.col("cell") == F.col("c")) & (F.col("piece") == F.col("i")))
     right = blocks.join(pairs.where("c < e or i < j"), (F.col("cell") == F.col("e")) & (F.col("piece") == F.col("j")))
-    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).select("c", "i", "e", "j", "side", "node", "copies", "vec")
+    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).select("c", "i", "e", "j", "side", "node", "copies", "vec", "centre")
     return both.groupBy("c", "i", "e", "j").applyInArrow(lambda t: compare_blocks(t, cosine), "node long, links long, root long")
