@@ -1,8 +1,8 @@
 """Registered queries of the engine's own operators."""
 
-from veilwork.plans import pages, pictures, redaction, words
+from veilwork.plans import pages, pictures, placing, redaction, words
 
-MODULES = (redaction, words, pages, pictures)
+MODULES = (redaction, words, pages, pictures, placing)
 
 
 def queries() -> dict:
