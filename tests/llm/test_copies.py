@@ -399,3 +399,19 @@ def test_pipeline_edges(spark, tmp_path):
 def test_all_registered():
     names = list(queries.queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_matches_sql(spark, sf, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
+        c.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
+    df = queries.queries()[name](spark, sf)
+    cols = sorted(df.columns)
+    plain = lambda v: f"{v:.9g}" if isinstance(v, float) else v
+    cur = c.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in cur.description]
+    want = sorted((tuple(plain(r[names.index(k)]) for k in cols) for r in cur.fetchall()), key=repr)
+    assert sorted(tuple(plain(r[k]) for k in cols) for r in df.collect()) == sorted(want) and sorted(names) == cols
