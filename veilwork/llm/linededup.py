@@ -84,13 +84,25 @@ def bucket_keys(sig: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), *[block[b] for b in some]) for k, some in enumerate(combinations(range(BLOCKS), EQUAL))])
 
 
-def similar(a: str, b: str, threshold: float) -> Column:
-    """Whether the edit similarity of two columns reaches the threshold. Most
-    links need few edits, so narrow bands of the distance come first."""
-    longer = f"greatest(length({a}), length({b}))"
-    most = f"cast(floor({longer} * {1 - threshold!r} + 1e-9) as int)"
-    tries = " or ".join(f"levenshtein({a}, {b}, {k}) >= 0" for k in (f"cast({most} div 16 as int)", f"cast({most} div 4 as int)", most))
-    return F.expr(f"abs(length({a}) - length({b})) <= {most} and ({tries})")
+def similar(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Of rows (a, b, wa, wb: the lines' words) the pairs (a, b) whose edit
+    similarity reaches the threshold. Words that both lines begin or end with
+    don't count for the distance; it is taken of what is between, where it is
+    often no more than that is long."""
+    once = lambda *cols: F.inline(F.array(F.struct(*cols)))
+
+    def common(x: Column, y: Column) -> Column:
+        at = F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False)
+        return F.when(at == 0, F.greatest(F.size(x), F.size(y))).otherwise(at - 1).cast("int")
+
+    length = lambda c: F.length(F.array_join(c, " "))
+    most = F.floor(F.greatest(length("wa"), length("wb")) * (1 - threshold) + 1e-9).cast("int")
+    x = pairs.select("a", "b", "wa", "wb", once(most.alias("most"), common(F.col("wa"), F.col("wb")).alias("head"), common(F.reverse("wa"), F.reverse("wb")).alias("tail")))
+    x = x.withColumn("tail", F.least("tail", F.least(F.size("wa"), F.size("wb")) - F.col("head")))
+    # every word with a blank after it: then what goes are whole pieces
+    middle = lambda w: F.array_join(F.transform(F.slice(w, F.col("head") + 1, F.greatest(F.size(w) - F.col("head") - F.col("tail"), F.lit(0))), lambda v: F.concat(v, F.lit(" "))), "")
+    x = x.select("a", "b", "most", once(middle("wa").alias("ma"), middle("wb").alias("mb")))
+    return x.where("abs(length(ma) - length(mb)) <= most and (greatest(length(ma), length(mb)) <= most or levenshtein(ma, mb, most) >= 0)").select("a", "b")
 
 
 def removed_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = SIMILARITY, ws: Workspace | None = None) -> DataFrame:
@@ -106,11 +118,11 @@ def removed_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", thresh
     place = ws.write(occ.join(small(ws, wanted), "h").groupBy("h").agg(first.alias("f")).select("h", F.col("f.th").alias("pt"), F.col("f.line").alias("pl"), F.col("f.doc").alias("pd")))
     lines = docs.select("doc", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
     at = (F.col("th") == F.col("pt")) & (F.col("line") == F.col("pl")) & F.col("doc").eqNullSafe(F.col("pd"))
-    texts = ws.write(lines.join(small(ws, place), at).select(F.col("h").alias("node"), F.array_join(words_of(F.col("raw")), " ").alias("t")).dropDuplicates(["node"]))
+    texts = ws.write(lines.join(small(ws, place), at).select(F.col("h").alias("node"), words_of(F.col("raw")).alias("w")).dropDuplicates(["node"]))
 
     def verify(todo: DataFrame) -> DataFrame:
-        ta, tb = texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), texts.select(F.col("node").alias("b"), F.col("t").alias("tb"))
-        return todo.join(ta, "a").join(tb, "b").where(similar("ta", "tb", threshold)).select("a", "b").distinct()
+        wa, wb = texts.select(F.col("node").alias("a"), F.col("w").alias("wa")), texts.select(F.col("node").alias("b"), F.col("w").alias("wb"))
+        return similar(todo.join(wa, "a").join(wb, "b"), threshold).distinct()
 
     comp = ws.write(components(link(pairs, members, verify, ws), ws))
     again = nodes.where("n > 1").select(F.col("h").alias("node"))
