@@ -26,8 +26,9 @@ COSINE = 0.9
 SAMPLE, CELLS = 4096, 256
 #: Vectors in a block, about.
 BLOCK = 8192
-#: Radii of the levels in a block.
-RADII = (1.0, 0.5, 0.25)
+#: Radii of the levels in a block. Wider nodes would hold no links of their own
+#: at this threshold (0.447 apart) and reach almost every other node.
+RADII = (0.5, 0.25, 0.125)
 #: Rows of a distance matrix at a time; pairs that are compared one by one.
 TILE, FLAT = 2048, 4096
 
