@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilwork.shipping import ship
 from veilwork.sources.tables import table
 
 __all__ = ["Fixture", "Registry", "table"]
@@ -52,7 +54,12 @@ class Registry:
 
     def __call__(self, sql: str | None = None):
         def add(f):
-            self.queries[f.__name__] = f
+            @wraps(f)
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship(spark)
+                return f(spark, sf_dir)
+
+            self.queries[f.__name__] = run
             if sql:
                 self.sql[f.__name__] = sql
             return f
