@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilwork.llm.common import ship
+
 #: Words and chunks of text that a worker remembers, each.
 CACHE = 300_000
 
@@ -280,6 +282,7 @@ def encode_decode(df: DataFrame, spec: str, text: str = "text", keep: tuple[str,
     Null and empty texts give no ids and an empty decoded text. Special tokens
     inside a text are their own ids. Repeated rows give repeated rows; other
     columns are dropped; an empty table gives an empty table."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(spec)
     key = hash(spec)
     kept = [F.col(c) for c in keep]

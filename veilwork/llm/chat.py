@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilwork.llm.common import ship
+
 MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": ("<s> ", " </s>"), "system": ("[SYS] ", " [/SYS]")}
 ROLE_OPEN, ROLE_CLOSE = "[ROLE ", " [/ROLE]"
 _CONTROL = r"(?=/?(?:INST|SYS)\]|/?ROLE|/?s>)"
@@ -109,6 +111,7 @@ def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     """One row per row: conv, turn, formatted (the turn's part of the
     conversation's text). Null roles and texts count as empty. Turns are
     rendered where they are, before any shuffle."""
+    ship(df.sparkSession)
     src = df.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,6 +134,7 @@ def read_back(turns: DataFrame) -> DataFrame:
     own. Each task reads its conversations in order and keeps two running
     digests and the spans, so a conversation with a third of all turns needs
     no more memory than its spans do."""
+    ship(turns.sparkSession)
     kind = dict(turns.dtypes)["conv"]
     schema = f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, loss_spans array<struct<start:long,end:long>>"
     names = [x.split(" ")[0] for x in schema.split(", ")]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilwork.llm.bpe import slices
+from veilwork.llm.common import ship
 
 #: The model is fitted on about so many labelled rows at most, drawn by a hash of their id.
 TRAIN_ROWS = 10_000
@@ -113,6 +114,7 @@ def is_training(doc: Column) -> Column:
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc: str = "doc_id", train_rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most about `train_rows` rows with text and language whose id
     isn't held out (a null id counts as held out)."""
+    ship(df.sparkSession)
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & is_training(F.col(doc)))
     there = rows.count()
     parts = 1 << 20
@@ -269,6 +271,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
     any labelled row all is `und`. Repeated rows give repeated rows.
 
     The model goes by broadcast: 2^BITS rows of one double per language."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([df.schema[c] for c in keep] + T._parse_datatype_string(f"lang_pred string, score double, spans {SPANS}").fields)
     n = len(keep)

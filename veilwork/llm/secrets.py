@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilwork.llm.bpe import slices
-from veilwork.llm.common import Workspace, small
+from veilwork.llm.common import Workspace, ship, small
 
 #: Kinds in the order of the output; the first three are the base.
 KINDS = ("assign", "access", "hex", "token")
@@ -84,6 +84,7 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
 
 def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
     """Pass 1: the columns of `keep`, the base counts and all candidates."""
+    ship(df.sparkSession)
     schema = T.StructType([df.schema[c] for c in keep] + FOUND.fields)
     n = len(keep)
 
