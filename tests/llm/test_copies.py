@@ -92,7 +92,7 @@ def test_near_duplicates_like_brute_force(spark, near_docs):
     grams = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.split() for t in near_docs)]
     bucket = {g: int(neardup.bucket(neardup.shingles([" ".join(g)])[1])[0]) for c in grams for g in c}
     df_of = Counter(b for c in grams for b in [bucket[g] for g in c])
-    idf = {g: np.log((1 + len(grams)) / (1 + df_of[b])) + 1 for g, b in bucket.items()}
+    idf = {g: 1 + np.log((1 + len(grams)) / (1 + df_of[b])) / np.log(2 + len(grams)) for g, b in bucket.items()}
     links = []
     for i in range(len(grams)):
         for j in range(i):

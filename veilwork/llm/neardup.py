@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.llm.bpe import slices
-from veilwork.llm.common import Workspace, components, small
+from veilwork.llm.common import Workspace, components, ship, small
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair with the least similarity shares a band with probability 1 - (1 - 0.8^3)^10 > 0.999.
@@ -86,9 +86,16 @@ def bucket(h: np.ndarray) -> np.ndarray:
     return (h >> _U(48 - DF_BITS)).astype(np.int64)
 
 
+def idf_of(n: np.ndarray, total: int) -> np.ndarray:
+    """1 + ln((1 + N) / (1 + n)) / ln(2 + N), between 1 and 2: a shingle that
+    one text holds counts at most twice one that all hold, so a group of many
+    near copies, whose common shingles are frequent, stays one group."""
+    return 1.0 + np.log((1.0 + total) / (1.0 + n)) / np.log(2.0 + total)
+
+
 def idf_table(df: DataFrame, text: str) -> np.ndarray:
-    """IDF of each bucket, from all rows: ln((1 + N) / (1 + n)) + 1. Partial
-    counts of a fixed size are summed as a tree."""
+    """IDF of each bucket, from all rows. Partial counts of a fixed size are
+    summed as a tree."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((1 << DF_BITS) + 1, np.int64)
@@ -102,7 +109,7 @@ def idf_table(df: DataFrame, text: str) -> np.ndarray:
     rows = df.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "n binary").rdd
     zero = np.zeros((1 << DF_BITS) + 1, np.int64)
     n = rows.map(lambda r: np.frombuffer(r[0], np.int64)).treeAggregate(zero, lambda a, b: a + b, lambda a, b: a + b, depth=2)
-    return (np.log((1.0 + n[-1]) / (1.0 + n[:-1])) + 1.0).astype(np.float64)
+    return idf_of(n[:-1], n[-1])
 
 
 class Sampler:
@@ -222,6 +229,7 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", thre
     are copies. An empty table gives an empty one. Equal texts are known by
     their 64-bit hash."""
     spark = df.sparkSession
+    ship(df.sparkSession)
     ws = Workspace(spark, "neardup")
     t = F.col(text).cast("string")
     idf = spark.sparkContext.broadcast(idf_table(df, text))
