@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.common import Workspace, components
+from veilwork.llm.common import Workspace, components, ship
 
 COSINE = 0.9
 #: Vectors that the upper levels are fitted on, and cells, at most. All
@@ -222,6 +222,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     repeat a key are rows; a null key counts for no component. An empty table
     gives an empty one."""
     spark = df.sparkSession
+    ship(df.sparkSession)
     ws = Workspace(spark, "embeddings")
     v = F.col(vector).cast("array<double>")
     finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
