@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilwork.llm.common import ship
+from veilwork.llm.common import Memo, ship
 
-#: Words and chunks of text that a worker remembers, each.
-CACHE = 300_000
+#: Words and chunks of text that a worker remembers, in each of two generations.
+CACHE = 100_000
 
 
 def byte_symbols() -> str:
@@ -210,32 +210,19 @@ class Tokenizer:
         self.v = vocabulary
         self.symbols = byte_symbols()
         self.added = regex.compile("|".join(map(regex.escape, sorted(vocabulary.added, key=len, reverse=True))) or "(?!)")
-        self.words: dict[str, bytes] = {}
-        tok = self
-
-        class Chunks(dict):
-            def __missing__(self, chunk: str) -> bytes:
-                if len(self) >= CACHE:
-                    self.clear()
-                if chunk.isascii() or not tok.RARE.search(chunk):
-                    words = tok.WORD.findall(chunk)
-                else:
-                    words = tok.RARE_WORD.findall(chunk.translate(LOWER))
-                self[chunk] = out = b"".join(map(tok._word, words))
-                return out
-
-        self.chunks = Chunks()
+        self.words = Memo(self._word, CACHE)
+        self.chunks = Memo(self._chunk, CACHE)
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() or not self.RARE.search(chunk):
+            words = self.WORD.findall(chunk)
+        else:
+            words = self.RARE_WORD.findall(chunk.translate(LOWER))
+        return b"".join(map(self.words.__getitem__, words))
 
     def _word(self, word: str) -> bytes:
-        out = self.words.get(word)
-        if out is None:
-            s = self.symbols
-            ids = self.v.encode_word("".join([s[b] for b in word.encode()]))
-            out = np.array(ids, dtype="<u4").tobytes()
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[word] = out
-        return out
+        s = self.symbols
+        return np.array(self.v.encode_word("".join([s[b] for b in word.encode()])), dtype="<u4").tobytes()
 
     def _plain(self, text: str) -> bytes:
         if not unicodedata.is_normalized("NFC", text):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilwork.shipping import ship
 
-__all__ = ["Workspace", "components", "shared_dir", "ship", "small"]
+__all__ = ["Memo", "Workspace", "components", "shared_dir", "ship", "small"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +26,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+class Memo(dict):
+    """Remembered results of a function of a word. It holds two generations of
+    at most `limit` entries: what is used again moves to the new one, the rest
+    goes with the old one."""
+
+    def __init__(self, function, limit: int):
+        super().__init__()
+        self.function, self.limit, self.old = function, limit, {}
+
+    def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.function(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
+
 class Workspace:
     """Parquet tables in the shared folder. write() cuts the lineage: what
     reads the table again doesn't depend on executors that made it. Tables go

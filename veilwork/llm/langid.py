@@ -30,7 +30,7 @@ SWITCH, CLIP = 8.0, 6.0
 #: Share of a language's letters that a script must have to be one of its scripts.
 SCRIPT_SHARE = 0.005
 #: Words that a worker remembers.
-CACHE = 300_000
+CACHE = 200_000
 
 # Code point ranges of scripts.
 SCRIPTS = (

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.llm.bpe import slices
-from veilwork.llm.common import Workspace, components, ship, small
+from veilwork.llm.common import Memo, Workspace, components, ship, small
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair with the least similarity shares a band with probability 1 - (1 - 0.8^3)^10 > 0.999.
@@ -30,8 +30,8 @@ LEAST_EQUAL = 17
 #: Buckets of more members are compared in blocks, not as pairs; a block has
 #: about so many members, and texts of about so many bytes.
 FEW, BLOCK, BLOCK_BYTES = 16, 1024, 8 << 20
-#: Words whose hash a worker remembers.
-CACHE = 300_000
+#: Words whose hash a worker remembers, in each of two generations.
+CACHE = 50_000
 
 _U = np.uint64
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -45,15 +45,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
+_HASHES = Memo(xxhash.xxh3_64_intdigest, CACHE)
 
 
 def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,6 +96,7 @@ def idf_table(df: DataFrame, text: str) -> np.ndarray:
                 _, h, _ = shingles(part.column(0).to_pylist())
                 n[:-1] += np.bincount(bucket(h), minlength=1 << DF_BITS)
                 n[-1] += part.num_rows
+        _HASHES.forget()
         yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], names=["n"])
 
     rows = df.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "n binary").rdd
@@ -248,6 +241,7 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", thre
                     samples[i] = p.tobytes()
                 null = part.column(2).is_null()
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, pa.array(samples, pa.binary()), null], names=["doc", "node", "bands", "prints", "blank"])
+        _HASHES.forget()
 
     signed = ws.write(src.mapInArrow(sign, "doc long, node long, bands array<long>, prints binary, blank boolean").withColumn("row", F.monotonically_increasing_id()))
     # a null text equals nothing: its node is its row
@@ -285,6 +279,7 @@ def _links(signed: DataFrame, src: DataFrame, idf, threshold: float, ws: Workspa
                 both = Texts(part.column(2).to_pylist() + part.column(3).to_pylist(), idf.value)
                 like = both.similarity(np.arange(n), np.arange(n) + n)
                 yield part.select(["a", "b"]).filter(pa.array(like >= threshold, pa.bool_()))
+        _HASHES.forget()
 
     ta, tb = (texts.select(F.col("node").alias(k), F.col("text").alias(f"t{k}"), F.col("prints").alias(f"p{k}")) for k in "ab")
     some = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb", "pa", "pb").mapInArrow(compare, "a long, b long")
@@ -302,6 +297,7 @@ def _links(signed: DataFrame, src: DataFrame, idf, threshold: float, ws: Workspa
         prints = np.frombuffer(b"".join(table["prints"].to_pylist()), np.uint16).reshape(len(node), -1)
         first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         i, j = compare_block(table["text"].to_pylist(), prints, table["label"].to_numpy(), first, second if side.any() else None, idf.value, threshold) if len(first) else (first, first)
+        _HASHES.forget()
         return pa.table({"a": pa.array(node[i], pa.int64()), "b": pa.array(node[j], pa.int64())})
 
     cols = ["key", "i", "j", "side", "node", "label", "prints", "text"]
