@@ -1,15 +1,16 @@
 """Fuzzy line deduplication, with DataFrame functions only.
 
-Lines are normalised (lower case, runs of letters and digits), and each has a
-64-bit SimHash of its distinct words. Lines that agree in two of the four 16-bit blocks
-are candidates: by the pigeonhole principle all lines within two bits are. A
-candidate pair is a link if its edit similarity is at least 0.8. Of every
-connected group the first occurrence stays."""
+Lines are normalised (lower case, runs of letters and digits with a blank between).
+Candidates share a least hash of pieces of their UTF-8 bytes: of LONG bytes, with
+any of SEEDS masks (a line that changes in places keeps whole pieces between
+them), and of SHORT bytes with any of SEEDS / 2 pairs of masks for lines of few
+bytes. A candidate pair is a link if its edit similarity is at least 0.8; of pairs
+that similar, few aren't candidates (the README gives figures). Of every connected
+group the first occurrence stays."""
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
+import hashlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,13 +20,10 @@ from veilwork.llm.linkage import candidates, link
 
 #: Lines of fewer words are left alone.
 MIN_WORDS, SIMILARITY = 5, 0.8
-BLOCKS, EQUAL = 4, 2
-#: Bit counts are kept in lanes of 8 bits, which hold so many words.
-LANE = 127
-_BYTES = 0x0101010101010101
-_PAIRS = 0x00FF00FF00FF00FF
-_ONES = 0x0001000100010001
-_TOPS = 0x0080008000800080
+#: Bytes of a piece, and the sizes of lines in bytes between which both kinds are
+#: taken: two lines of similarity 0.8 that lie on different sides share one kind.
+LONG, SHORT, BOTH = 16, 5, (48, 64)
+SEEDS = 24
 
 
 def words_of(line: Column) -> Column:
@@ -38,50 +36,31 @@ def documents(df: DataFrame, doc: str, text: str) -> DataFrame:
     return df.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(t).alias("th"), t.alias("text"))
 
 
-def _or(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a.bitwiseOR(b), parts)
+def occurrences(docs: DataFrame) -> DataFrame:
+    """One row per line of MIN_WORDS words or more: doc, th, line, h (hash of
+    the normalised line), norm."""
+    lines = docs.select("doc", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+    # a generator's output is computed once; a projection's would be for each use
+    lines = lines.select("doc", "th", "line", F.inline(F.array(F.struct(words_of(F.col("raw")).alias("words"))))).where(F.size("words") >= MIN_WORDS)
+    return lines.select("doc", "th", "line", F.xxhash64("words").alias("h"), F.array_join("words", " ").alias("norm"))
 
 
-def _signature(n: Column) -> Column:
-    """From lanes s0 to s7 of at most LANE words: the bits set in more than
-    half of n words. Bit i + 8 j is lane j of s_i."""
-    least = (F.lit(128) - (F.floor(n / 2) + 1)) * F.lit(_ONES)
-    out = []
-    for i in range(8):
-        s = F.col(f"s{i}")
-        for odd in (0, 1):
-            lanes = F.shiftrightunsigned(s, 8 * odd).bitwiseAND(F.lit(_PAIRS))
-            top = F.shiftrightunsigned((lanes + least).bitwiseAND(F.lit(_TOPS)), 7)
-            out.append(F.shiftleft(top, i + 8 * odd))
-    return _or(out)
+def buckets(occ: DataFrame) -> DataFrame:
+    """Rows (node, key): the keys of every line. Equal lines have equal
+    pieces, so the least hashes are taken of all of them at once."""
+    line = occ.select("h", F.concat(F.lit(" "), "norm", F.lit(" ")).cast("binary").alias("b")).withColumn("n", F.length("b"))
+    masks = [int.from_bytes(hashlib.sha256(b"%d" % k).digest()[:8], "big", signed=True) for k in range(SEEDS)]
 
+    def least(rows: DataFrame, size: int) -> DataFrame:
+        at = rows.select("h", "b", F.explode(F.sequence(F.lit(1), F.greatest(F.col("n") - size + 1, F.lit(1)))).alias("at"))
+        x = at.select("h", F.xxhash64(F.expr(f"substring(b, at, {size})")).alias("x"))
+        return x.groupBy("h").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks)])
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """One row per line of MIN_WORDS words or more: doc, th, line, h (hash of
-    the normalised line), sig. The words are counted where they are read;
-    only the lanes go through the shuffle."""
-    lines = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-    # a generator's output is computed once; a projection's would be for each use
-    once = lambda **cols: F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()])))
-    lines = lines.select("row", "doc", "th", "line", once(words=words_of(F.col("raw")))).where(F.size("words") >= MIN_WORDS)
-    lines = lines.select("row", "doc", "th", "line", once(h=F.xxhash64("words"), words=F.array_distinct("words"))).withColumn("n", F.size("words"))
-    each = lines.select("row", "doc", "th", "line", "n", "h", F.posexplode("words").alias("at", "word"))
-    each = each.select("row", "line", F.expr(f"at div {LANE}").alias("part"), "doc", "th", "h", "n", F.xxhash64("word").alias("x"))
-    lanes = [F.sum(F.shiftrightunsigned("x", i).bitwiseAND(F.lit(_BYTES))).alias(f"s{i}") for i in range(8)]
-    # h, n, ... are the same in all rows of a line
-    summed = each.groupBy("row", "line", "part").agg(F.max("doc").alias("doc"), F.max("th").alias("th"), F.max("h").alias("h"), F.max("n").cast("long").alias("n"), *lanes)
-    short = summed.where(F.col("n") <= LANE).select("doc", "th", "line", "h", _signature(F.col("n")).alias("sig"))
-    wide = [F.sum(F.shiftrightunsigned(f"s{i}", 8 * j).bitwiseAND(F.lit(255))).alias(f"c{i + 8 * j}") for i in range(8) for j in range(8)]
-    long = summed.where(F.col("n") > LANE).groupBy("row", "line").agg(F.max("doc").alias("doc"), F.max("th").alias("th"), F.max("h").alias("h"), F.max("n").alias("n"), *wide)
-    bits = _or([F.shiftleft((F.col(f"c{b}") * 2 > F.col("n")).cast("long"), b) for b in range(64)])
-    return short.unionAll(long.select("doc", "th", "line", "h", bits.alias("sig")))
-
-
-def bucket_keys(sig: Column) -> Column:
-    """A key for each choice of EQUAL blocks."""
-    width = 64 // BLOCKS
-    block = [F.shiftrightunsigned(sig, width * b).bitwiseAND(F.lit((1 << width) - 1)) for b in range(BLOCKS)]
-    return F.array(*[F.xxhash64(F.lit(k), *[block[b] for b in some]) for k, some in enumerate(combinations(range(BLOCKS), EQUAL))])
+    m = [F.col(f"m{k}") for k in range(SEEDS)]
+    one = F.array(*[F.xxhash64(F.lit(k), c) for k, c in enumerate(m)])
+    two = F.array(*[F.xxhash64(F.lit(SEEDS + k), m[2 * k], m[2 * k + 1]) for k in range(SEEDS // 2)])
+    long = least(line.where(F.col("n") >= BOTH[0]), LONG).select(F.col("h").alias("node"), F.explode(one).alias("key"))
+    return long.unionAll(least(line.where(F.col("n") < BOTH[1]), SHORT).select(F.col("h").alias("node"), F.explode(two).alias("key")))
 
 
 def similar(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -111,21 +90,16 @@ def removed_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", thresh
     ws = ws or Workspace(df.sparkSession, "lines")
     docs = documents(df, doc, text)
     occ = ws.write(occurrences(docs))
-    nodes = ws.write(occ.groupBy("h").agg(F.max("sig").alias("sig"), F.count("*").alias("n")))
-    pairs, members = candidates(nodes.select(F.col("h").alias("node"), F.explode(bucket_keys(F.col("sig"))).alias("key")), ws)
+    pairs, members = candidates(ws.write(buckets(occ)), ws)
     wanted = ws.write(pairs.selectExpr("stack(2, a, b) as h").union(members.select(F.col("node").alias("h"))).distinct())
-    first = F.min(F.struct("th", "line", "doc"))
-    place = ws.write(occ.join(small(ws, wanted), "h").groupBy("h").agg(first.alias("f")).select("h", F.col("f.th").alias("pt"), F.col("f.line").alias("pl"), F.col("f.doc").alias("pd")))
-    lines = docs.select("doc", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-    at = (F.col("th") == F.col("pt")) & (F.col("line") == F.col("pl")) & F.col("doc").eqNullSafe(F.col("pd"))
-    texts = ws.write(lines.join(small(ws, place), at).select(F.col("h").alias("node"), words_of(F.col("raw")).alias("w")).dropDuplicates(["node"]))
+    texts = ws.write(occ.join(small(ws, wanted), "h", "left_semi").groupBy(F.col("h").alias("node")).agg(F.split(F.min("norm"), " ").alias("w")))
 
     def verify(todo: DataFrame) -> DataFrame:
         wa, wb = texts.select(F.col("node").alias("a"), F.col("w").alias("wa")), texts.select(F.col("node").alias("b"), F.col("w").alias("wb"))
         return similar(todo.join(wa, "a").join(wb, "b"), threshold).distinct()
 
     comp = ws.write(components(link(pairs, members, verify, ws), ws))
-    again = nodes.where("n > 1").select(F.col("h").alias("node"))
+    again = occ.groupBy(F.col("h").alias("node")).agg(F.count("*").alias("n")).where("n > 1").select("node")
     classes = ws.write(again.join(comp, "node", "full_outer").select(F.col("node").alias("h"), F.coalesce("root", "node").alias("root")))
     of_class = ws.write(occ.join(small(ws, classes), "h").select("root", "doc", "th", "line"))
     order = F.struct(F.col("doc").isNull().alias("no"), "doc", "line", "th")
