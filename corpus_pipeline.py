@@ -63,7 +63,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("near-duplicates", near), ("decontamination", benchmark), ("BPE", tokens)]
-#: None: SQL can't express language ID, SimHash lines, sampling or BPE.
+#: None: SQL can't express language ID, fuzzy lines, sampling or BPE.
 ORACLE_SQL = None
 
 

@@ -67,3 +67,10 @@ def test_like_all_pairs(spark):
                 a, b = sorted((root[i], root[j]))
                 root = [a if r == b else r for r in root]
     assert removed(spark, lines) == {i for i, r in enumerate(root) if r != i}
+
+
+def test_short_lines(spark):
+    # exact copies by the normalised line, near copies by letters; without spaces too
+    long = "東京都千代田区丸の内一丁目九番一号鉄鋼ビルディング"
+    lines = ["Ietzte.", "ietzte", "---", "---", long, long, long.replace("九", "八"), "one two", "", "One, two!", "12", "13"]
+    assert removed(spark, lines) == {1, 5, 6, 9}

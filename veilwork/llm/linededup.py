@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from veilwork.llm.common import Workspace, components, small
 from veilwork.llm.linkage import candidates, link
 
-#: Lines of fewer words are left alone.
-MIN_WORDS, SIMILARITY = 5, 0.8
+SIMILARITY = 0.8
 #: Bytes of a piece, and the sizes of lines in bytes between which both kinds are
 #: taken: two lines of similarity 0.8 that lie on different sides share one kind.
 LONG, SHORT, BOTH = 16, 5, (48, 64)
@@ -37,16 +36,16 @@ def documents(df: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """One row per line of MIN_WORDS words or more: doc, th, line, h (hash of
-    the normalised line), norm."""
+    """One row per line with a letter or digit: doc, th, line, h (hash of the
+    normalised line), norm."""
     lines = docs.select("doc", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
     # a generator's output is computed once; a projection's would be for each use
-    lines = lines.select("doc", "th", "line", F.inline(F.array(F.struct(words_of(F.col("raw")).alias("words"))))).where(F.size("words") >= MIN_WORDS)
+    lines = lines.select("doc", "th", "line", F.inline(F.array(F.struct(words_of(F.col("raw")).alias("words"))))).where(F.size("words") > 0)
     return lines.select("doc", "th", "line", F.xxhash64("words").alias("h"), F.array_join("words", " ").alias("norm"))
 
 
 def buckets(occ: DataFrame) -> DataFrame:
-    """Rows (node, key): the keys of every line. Equal lines have equal
+    """Rows (node, keys): the keys of every line. Equal lines have equal
     pieces, so the least hashes are taken of all of them at once."""
     line = occ.select("h", F.concat(F.lit(" "), "norm", F.lit(" ")).cast("binary").alias("b")).withColumn("n", F.length("b"))
     masks = [int.from_bytes(hashlib.sha256(b"%d" % k).digest()[:8], "big", signed=True) for k in range(SEEDS)]
@@ -59,8 +58,8 @@ def buckets(occ: DataFrame) -> DataFrame:
     m = [F.col(f"m{k}") for k in range(SEEDS)]
     one = F.array(*[F.xxhash64(F.lit(k), c) for k, c in enumerate(m)])
     two = F.array(*[F.xxhash64(F.lit(SEEDS + k), m[2 * k], m[2 * k + 1]) for k in range(SEEDS // 2)])
-    long = least(line.where(F.col("n") >= BOTH[0]), LONG).select(F.col("h").alias("node"), F.explode(one).alias("key"))
-    return long.unionAll(least(line.where(F.col("n") < BOTH[1]), SHORT).select(F.col("h").alias("node"), F.explode(two).alias("key")))
+    long = least(line.where(F.col("n") >= BOTH[0]), LONG).select(F.col("h").alias("node"), one.alias("keys"))
+    return long.unionAll(least(line.where(F.col("n") < BOTH[1]), SHORT).select(F.col("h").alias("node"), two.alias("keys")))
 
 
 def similar(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -90,7 +89,7 @@ def removed_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", thresh
     ws = ws or Workspace(df.sparkSession, "lines")
     docs = documents(df, doc, text)
     occ = ws.write(occurrences(docs))
-    pairs, members = candidates(ws.write(buckets(occ)), ws)
+    pairs, members = candidates(ws.write(buckets(occ)).select("node", F.explode("keys").alias("key")), ws)
     wanted = ws.write(pairs.selectExpr("stack(2, a, b) as h").union(members.select(F.col("node").alias("h"))).distinct())
     texts = ws.write(occ.join(small(ws, wanted), "h", "left_semi").groupBy(F.col("h").alias("node")).agg(F.split(F.min("norm"), " ").alias("w")))
 
@@ -113,7 +112,7 @@ def dedup_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", threshol
     n_lines, n_removed (long).
 
     A group's first occurrence is that with the least id, then line (a null
-    id comes last). Lines of fewer than MIN_WORDS words stay. A null text
+    id comes last). Lines without a letter or digit stay. A null text
     stays null and has no lines; an empty one has one. Rows that repeat id and
     text are one document: they lose the same lines. An empty table gives an
     empty one."""
