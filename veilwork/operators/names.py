@@ -13,10 +13,10 @@ SIGN_LABEL = r"(?i)^(?:name|signed by|signature|printed name|by) *:(?: */s/)? *"
 CONTACT = r"(?i)^(?:t|m|e|d|f|p|tel|mob|mobile|cell|e-?mail|phone|fax|direct|office) *[:.]|[a-z0-9._%+-]+@[a-z0-9.-]+[.][a-z]{2,}|[+][0-9][0-9 ().-]{7,}"
 NOT_NAMES = r"(?i)(?:^|[^a-z])(?:ltd|limited|llc|llp|inc|corp|corporation|plc|gmbh|company|group|holdings?|partners|capital|ventures?|funds?|bank|management|trust|foundation|institute|university|college|school|board|team|department|office|tower|building|plaza|centre|center|city|province|district|town|village|street|road|avenue|lane|floor|summary|overview|highlights|introduction|appendix|agenda|contents|background|conclusion|services|solutions?|technology)(?:$|[^a-z])"
 NAME = r"^\p{Lu}[\p{L}\p{M}'’.-]*(?: +\p{Lu}[\p{L}\p{M}'’.-]*){0,4}$"
-STREETS = "Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Place|Pl|Terrace|Way|Circle|Parkway|Highway|Crescent|Quay|Rise|Walk|Close"
-STREET = rf"[0-9]{{1,6}}[A-Za-z]? (?:[A-Z][A-Za-z.'-]* ){{1,5}}(?:{STREETS})(?:[^A-Za-z]|$)"
-UNIT = r"(?i)(?:#[0-9]{1,3}-[0-9]{1,4}|(?:unit|suite|floor|level|flat|apt)[.]? [0-9A-Za-z-]{1,6}),? *$"
-POSTAL = r"(?:^|[^A-Za-z0-9])([A-Z]{1,2}[0-9][0-9A-Z]? [0-9][A-Z]{2}|[A-Z]{2} [0-9]{5}(?:-[0-9]{4})?|[0-9]{5,6}|[0-9]{4})(?:$|[^A-Za-z0-9])"
+STREETS = "Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Place|Pl|Terrace|Ter|Way|Circle|Cir|Parkway|Pkwy|Highway|Hwy|Crescent|Cres|Quay|Rise|Walk|Link|Close|Loop|Path|Green|Gate|Hill|View"
+STREET = rf"\b[0-9]{{1,6}}[A-Za-z]?\s+(?:[A-Z][A-Za-z.'-]*\s+){{1,5}}(?:{STREETS})\b[.]?"
+UNIT = r"(?i)(?:(?:#\s?[A-Z]{0,2}[0-9]{1,3}-[0-9]{1,4}[A-Za-z]?|[0-9]{1,3}/F|(?:UG|LG|G|B[0-9]?)/F|(?:Floor|Level)\s[0-9]{1,3}|[0-9]{1,3}\s?(?:st|nd|rd|th)?\s?(?:Floor|Level))\b|(?:unit|suite|floor|level|flat|apt)[.]? [0-9A-Za-z-]{1,6})[\s,]*$"
+POSTAL = r"\b(?:[A-Z]{1,2}[0-9][A-Z0-9]?\s*[0-9][A-Z]{2}|[A-Z][0-9][A-Z]\s*[0-9][A-Z][0-9]|[0-9]{5}(?:-[0-9]{4})?|[0-9]{3}-[0-9]{4}|[0-9]{6}|(?!19[0-9]{2}|20[0-9]{2})[0-9]{4})\b"
 
 
 def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -86,17 +86,16 @@ def names(df: DataFrame, key: str, text: str, from_ocr: bool = False) -> DataFra
 
 
 def addresses(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, start, end, text): street lines up to the last postal code on the
-    line; a unit before it belongs to it. Years are no postal codes."""
+    """(key, start, end, text): each street of a line up to the last postal
+    code on the line, of 200 characters at most; a unit before it belongs to it. Years are no postal codes."""
     from veilwork.operators.spans import matches
 
-    x = lines_of(df, key, text).where(F.col("raw").rlike(STREET)).select(key, "start", "raw", F.get(matches(F.col("raw"), STREET), F.lit(0)).alias("street"))
-    x = x.withColumn("after", F.col("street.start") + F.length("street.text") - 1)
-    tail = F.expr("substring(raw, after + 1)")
-    codes = F.filter(matches(tail, POSTAL.replace("(", "(?:").replace("(?:?:", "(?:")), lambda m: ~F.regexp_replace(m["text"], "[^A-Za-z0-9 ]", "").rlike("^ ?(?:19|20)[0-9]{2} ?$"))
+    x = lines_of(df, key, text).where(F.col("raw").rlike(STREET)).select(key, "start", "raw", F.explode(matches(F.col("raw"), STREET)).alias("street"))
+    x = x.withColumn("after", F.col("street.start") + F.length("street.text"))
+    codes = matches(F.expr("substring(raw, after + 1)"), POSTAL)
     x = x.withColumn("codes", codes).where(F.size("codes") > 0).withColumn("code", F.try_element_at("codes", F.lit(-1)))
     lead = F.regexp_extract(F.expr("substring(raw, 1, street.start)"), UNIT, 0)
-    stop = F.col("after") + F.col("code.start") + F.length(F.regexp_replace("code.text", "[^A-Za-z0-9]$", ""))
+    stop = F.col("after") + F.col("code.start") + F.length("code.text")
     begin = F.col("street.start") - F.length(lead)
     x = x.withColumn("begin", begin).withColumn("stop", stop).where("stop - begin <= 200")
     return x.select(key, (F.col("start") + F.col("begin")).cast("int").alias("start"), (F.col("start") + F.col("stop")).cast("int").alias("end"), F.expr("substring(raw, begin + 1, stop - begin)").alias("text"))
