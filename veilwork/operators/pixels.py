@@ -153,9 +153,37 @@ def ncc_plane(page: np.ndarray, template: np.ndarray) -> np.ndarray | None:
     return np.divide(num, np.sqrt(np.maximum(var, 1e-12) * energy), out=np.full(num.shape, np.nan), where=var >= 1e-6)
 
 
-def find_template(page: np.ndarray, template: np.ndarray, scales: list[float], bar: float = 0.75, limit: int = 16) -> list[dict]:
-    """Hits of a template at any of the scales: coarse on pages of half size,
-    the best candidates again in full, then without overlaps."""
+def overlap(a: dict, b: dict) -> float:
+    """Intersection over union of two boxes."""
+    w = min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"])
+    h = min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"])
+    both = max(w, 0) * max(h, 0)
+    return both / (a["w"] * a["h"] + b["w"] * b["h"] - both)
+
+
+def peaks(flat: np.ndarray, width: int, w: int, h: int, least: float, most: float, keep: int) -> list[int]:
+    """The best places of one scale whose boxes overlap no better one's by more than `most`."""
+    out: list[dict] = []
+    good = np.flatnonzero(flat >= least)
+    for i in good[np.argsort(-flat[good], kind="stable")]:
+        box = {"i": int(i), "x": int(i % width), "y": int(i // width), "w": w, "h": h}
+        if all(overlap(box, k) <= most for k in out):
+            out.append(box)
+            if len(out) == keep:
+                break
+    return [k["i"] for k in out]
+
+
+def interleave(groups: list[list], limit: int) -> list:
+    """The best of every group before the second of any."""
+    depth = max((len(g) for g in groups), default=0)
+    return [g[rank] for rank in range(depth) for g in groups if rank < len(g)][:limit]
+
+
+def find_template(page: np.ndarray, template: np.ndarray, scales: list[float], bar: float = 0.75, limit: int = 110) -> list[dict]:
+    """Hits of a template at any of the scales: coarse on pages of half size
+    (8 places of each scale that don't overlap), then `limit` of them, from
+    the scales in turn, again in full, then without overlaps."""
     half = shrink(page, max(1, page.shape[1] // 2), max(1, page.shape[0] // 2))
     nominated = []
     for s in scales:
@@ -165,10 +193,10 @@ def find_template(page: np.ndarray, template: np.ndarray, scales: list[float], b
         if plane is None:
             continue
         flat = np.nan_to_num(np.abs(plane), nan=0).ravel()
-        best = np.argsort(-flat, kind="stable")[:8]
-        nominated += [(float(flat[i]), s, int(i // plane.shape[1]) * 2, int(i % plane.shape[1]) * 2) for i in best if flat[i] >= 0.4]
+        best = peaks(flat, plane.shape[1], small.shape[1], small.shape[0], 0.4, 0.4, 8)
+        nominated.append([(s, i // plane.shape[1] * 2, i % plane.shape[1] * 2) for i in best])
     hits = []
-    for _, s, y, x in sorted(nominated, key=lambda n: (-n[0], n[1], n[2], n[3]))[:limit]:
+    for s, y, x in interleave(nominated, limit):
         h, w = (max(4, round(n * s)) for n in template.shape)
         y0, x0 = max(0, y - 4), max(0, x - 4)
         plane = ncc_plane(page[y0 : y + h + 5, x0 : x + w + 5], resize(template, w, h))
@@ -180,13 +208,7 @@ def find_template(page: np.ndarray, template: np.ndarray, scales: list[float], b
             hits.append({"x": x0 + i % plane.shape[1], "y": y0 + i // plane.shape[1], "w": w, "h": h, "score": abs(v), "scale": s, "inverted": v < 0})
     kept: list[dict] = []
     for hit in sorted(hits, key=lambda k: (-k["score"], k["y"], k["x"])):
-        def clash(k, hit=hit):
-            w = min(k["x"] + k["w"], hit["x"] + hit["w"]) - max(k["x"], hit["x"])
-            h = min(k["y"] + k["h"], hit["y"] + hit["h"]) - max(k["y"], hit["y"])
-            both = max(w, 0) * max(h, 0)
-            return both / (k["w"] * k["h"] + hit["w"] * hit["h"] - both) > 0.3
-
-        if not any(clash(k) for k in kept):
+        if all(overlap(k, hit) <= 0.3 for k in kept):
             kept.append(hit)
     return kept
 
