@@ -9,8 +9,20 @@ from pyspark.sql import functions as F
 # Words that don't count as parts of a phrase.
 STOP_WORDS = ("and", "or", "of", "the", "a", "an", "&", "+")
 # Marks that a reader confuses, as (seen, folded); the longer ones first.
-LOOK_ALIKES = (("rn", "m"), ("vv", "w"), ("cl", "d"), ("0", "o"), ("1", "l"), ("i", "l"), ("|", "l"), ("5", "s"), ("8", "b"))
+LOOK_ALIKES = (("rn", "m"), ("vv", "w"), ("cl", "d"))
+LOOK_ALIKE_MARKS = (("0oq", "o"), ("1il|!", "l"), ("5s$", "s"), ("8b", "b"), ("&a", "a"), ("2z", "z"), ("6g", "g"))
+# What tells kinds of page tokens.
+CONTACT_CUE = r"(?i)^(?:T|M|E|D|F|P|Tel|Mob|Mobile|Cell|Email|E-?mail|Phone|Fax|Direct|DID|Office)\s*[:.]"
+CONTACT_VALUE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\+[0-9][0-9\s().-]{7,}"
+ROLE_LINE = r"(?i)(?:^|[^A-Za-z0-9_])(?:Director|Partner|Manager|Officer|President|Associate|Analyst|Counsel)(?:$|[^A-Za-z0-9_])"
 PUNCTUATION_END = r"[.,;:!?]+$"
+#: White space, also what lies outside ASCII, for a character class.
+WHITE = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
+def strip(c: Column) -> Column:
+    """Without white space around it."""
+    return F.regexp_replace(c, rf"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
 def letters_of(c: Column) -> Column:
@@ -73,7 +85,7 @@ def fuzzy_part(token: Column, part: Column, edits: Column) -> Column:
     """Whether a token is a part, give or take the edits; short parts must be equal."""
     a, b = F.lower(letters_of(drop_possessive(token))), F.lower(letters_of(drop_possessive(part)))
     near = (F.length(b) >= 5) & (F.abs(F.length(a) - F.length(b)) <= edits) & (F.levenshtein(a, b) <= edits)
-    return (a == b) | near
+    return (F.length(b) > 0) & ((a == b) | near)
 
 
 def near(a: Column, b: Column) -> Column:
@@ -83,11 +95,14 @@ def near(a: Column, b: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Look-alike marks as one, lower case, no possessive, letters and digits only."""
-    out = F.lower(drop_possessive(c))
+    """Lower case, no possessive, nothing but letters, digits and marks that
+    look like one; each class of look-alikes as one letter."""
+    marks = "a-z0-9&$|!"
+    out = F.translate(F.lower(c), "\u2018\u2019`", "'''")
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, f"^[^{marks}]+|[^{marks}]+$", ""), "'s$", ""), f"[^{marks}]+", "")
     for seen, folded in LOOK_ALIKES:
         out = F.replace(out, F.lit(seen), F.lit(folded))
-    return F.regexp_replace(out, "[^a-z0-9]", "")
+    return F.translate(out, "".join(s for s, _ in LOOK_ALIKE_MARKS), "".join(f * len(s) for s, f in LOOK_ALIKE_MARKS))
 
 
 def confusable(a: Column, b: Column) -> Column:
@@ -124,15 +139,16 @@ def looks_like_name(c: Column) -> Column:
 
 def token_kind(c: Column) -> Column:
     """Kind of a page token, first match wins."""
-    t = F.trim(c)
-    digits = F.length(F.regexp_replace(t, "[^0-9]", ""))
+    t = strip(c)
+    bare = F.regexp_replace(t, f"[,{WHITE}]", "")
+    grouped = F.regexp_replace(t, f"[{WHITE}]", "").rlike(r"^[0-9]{1,3}(?:,[0-9]{3})+$")
     return (
         F.when(t == "", "empty")
-        .when(t.rlike("@[A-Za-z0-9-]+[.]") | t.rlike(r"^\+[0-9]{1,3}[ (]"), "contact")
-        .when((digits > 0) & (digits * 2 >= F.length(t)), "digit")
-        .when(t.rlike("(?i)(director|partner|manager|president|officer)"), "role")
-        .when(F.length(t) <= 6, "short")
-        .when((F.size(words(t)) >= 4) | (F.length(t) >= 24), "long")
+        .when(bare.rlike(r"^[0-9]{1,6}(?:[.][0-9]+)?%?$") | grouped, "digit")
+        .when(t.rlike(CONTACT_CUE) | t.rlike(CONTACT_VALUE), "contact")
+        .when(t.rlike(ROLE_LINE), "role")
+        .when((F.length(t) <= 6) & t.rlike("[A-Za-z]") & ~t.rlike(f"[{WHITE}]"), "short")
+        .when((F.size(F.split(t, f"[{WHITE}]+")) >= 4) | (F.length(t) >= 24), "long")
         .otherwise("word")
     )
 

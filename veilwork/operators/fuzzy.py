@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType
 
 from veilwork.functions import text as t
 
@@ -29,15 +31,30 @@ def osa(a: str | None, b: str | None) -> int | None:
 
 
 def osa_udf():
-    return F.udf(osa, IntegerType())
+    @F.pandas_udf("int")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([osa(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+    return distance
+
+
+#: Words of so many letters may have two edits, shorter ones one.
+LONG = 9
 
 
 def within_osa(a: Column, b: Column, edits: Column) -> Column:
-    """osa(a, b) <= edits. The UDF runs only where the built-in distance
-    doesn't settle it: it is between osa and twice osa."""
+    """osa(a, b) <= edits, which is 2 for b of LONG letters or more, else 1.
+    Python works in Arrow batches, and only where the built-in distance doesn't
+    settle it: it is between osa and twice osa."""
     lev = F.levenshtein(a, b)
-    slow = F.udf(lambda x, y, k: osa(x, y) <= k, BooleanType())
-    return F.when(lev <= edits, True).when(lev > edits * 2, False).otherwise(slow(a, b, edits))
+
+    @F.pandas_udf("boolean")
+    def slow(x: pd.Series, y: pd.Series) -> pd.Series:
+        # null: the built-in distance has settled it
+        return pd.Series([None if p is None else osa(p, q) <= (2 if len(q) >= LONG else 1) for p, q in zip(x, y)], dtype="boolean")
+
+    unsure = (lev > edits) & (lev <= edits * 2)
+    return F.when(lev <= edits, True).otherwise(F.coalesce(slow(F.when(unsure, a), b), F.lit(False)))
 
 
 def gap_ok(gap: Column, connectors: int) -> Column:
@@ -55,26 +72,29 @@ def skipped_connectors(phrase: Column, first: Column, second: Column) -> Column:
     return (F.array_position(w, second) - F.array_position(w, first) - 1).cast("long")
 
 
-def word_counts(df: DataFrame, text: str) -> DataFrame:
-    """(word, n) of the words of letters in a corpus; partial counts first."""
-    return df.select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def word_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, word, n) of the words of letters in each document; partial counts
+    first."""
+    return df.select(key, F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
 
 
-def spellings(counts: DataFrame, parts: DataFrame) -> DataFrame:
-    """(part, spelling, n): capitalised words of five letters or more that are
-    near a term's part, never occur in lower case, aren't the part itself, nor
-    a piece of it. parts: (part) - a short list, which is broadcast."""
+def spellings(counts: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """(key, part, spelling, n): capitalised words of five letters or more of a
+    document that are near a term's part, never occur there in lower case,
+    aren't the part itself, nor a piece of it. parts: (part). They meet by
+    their length."""
     # one row per folded word: whether it occurs in lower case
-    lower = counts.where(F.col("word") == F.lower("word")).select(F.col("word").alias("low"))
+    lower = counts.where(F.col("word") == F.lower("word")).select(key, F.col("word").alias("low"))
     capital = counts.where(F.col("word").rlike(r"^\p{Lu}") & (F.length("word") >= 5)).withColumn("low", F.lower("word"))
-    only = capital.join(lower, "low", "left_anti")
+    only = capital.join(lower, [key, "low"], "left_anti").withColumn("size", F.length("low"))
     p = parts.select("part", F.lower("part").alias("lp")).where(F.length("part") >= 5)
-    edits = F.when(F.length("lp") >= 9, 2).otherwise(1)
-    pairs = only.join(F.broadcast(p), (F.abs(F.length("low") - F.length("lp")) <= 2) & (F.col("low") != F.col("lp")))
+    edits = F.when(F.length("lp") >= LONG, 2).otherwise(1)
+    p = p.withColumn("size", F.explode(F.sequence(F.length("lp") - 2, F.length("lp") + 2)))
+    pairs = only.join(p, "size").where(F.col("low") != F.col("lp"))
     # a piece of the part is a word that was cut off
     whole = ~(F.startswith("lp", "low") | F.endswith("lp", "low"))
     near = pairs.where(within_osa(F.col("low"), F.col("lp"), edits) & whole)
-    return near.groupBy("part", t.in_case_of(F.col("word"), F.col("part")).alias("spelling")).agg(F.sum("n").alias("n"))
+    return near.groupBy(key, "part", t.in_case_of(F.col("word"), F.col("part")).alias("spelling")).agg(F.sum("n").alias("n"))
 
 
 def phrase_hits(text: str, parts: list[str], connectors: int) -> list[tuple[int, int]]:
@@ -129,8 +149,10 @@ def phrases(df: DataFrame, key: str, text: str, term: str, connectors: int = 1)
     with parts that are used up, which no built-in expresses."""
     parts = [w for w in term.split() if w.lower() not in t.STOP_WORDS]
 
-    @F.udf(returnType="array<struct<start:int,end:int>>")
-    def find(s):
-        return phrase_hits(s, parts, connectors) if s else []
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, a, b, s[a:b]) for k, s in zip(pdf["key"], pdf["text"]) if s for a, b in phrase_hits(s, parts, connectors)]
+            yield pd.DataFrame(rows, columns=[key, "start", "end", "text"])
 
-    return df.select(key, F.col(text).alias("_t"), F.explode(find(F.col(text))).alias("s")).select(key, "s.start", "s.end", F.expr("substring(_t, s.start + 1, s.end - s.start)").alias("text"))
+    some = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return some.mapInPandas(find, f"{key} {dict(df.dtypes)[key]}, start int, end int, text string")

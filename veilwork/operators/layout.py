@@ -177,10 +177,16 @@ def reading_order(words: Column) -> Column:
 # ---- clusters and roles ----
 
 
-def clusters(tokens: DataFrame, page: str, gap: float) -> DataFrame:
-    """(page, seq, cluster): tokens at most `gap` apart, directly or by others;
-    a cluster's name is its least seq. A page's tokens are one group of Arrow
-    rows; a page is bounded, the number of pages isn't."""
+def page_gaps(page_w: float, page_h: float) -> tuple[float, float]:
+    """How far apart tokens of one cluster may lie, across and down."""
+    return max(24.0, page_w * 0.04), max(18.0, page_h * 0.03)
+
+
+def clusters(tokens: DataFrame, page: str, gap_x: float, gap_y: float) -> DataFrame:
+    """(page, seq, cluster): tokens with an area that lie at most so far apart
+    across and down, directly or by others; a cluster's name is its least seq. A
+    page's tokens are one group of Arrow rows; a page is bounded, the number of
+    pages isn't."""
     kind = dict(tokens.dtypes)
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -192,7 +198,7 @@ def clusters(tokens: DataFrame, page: str, gap: float) -> DataFrame:
             for i in range(len(pdf)):
                 dx = np.maximum(x[i], x) - np.minimum(x[i] + w[i], x + w)
                 dy = np.maximum(y[i], y) - np.minimum(y[i] + h[i], y + h)
-                near = (dx <= gap) & (dy <= gap)
+                near = (dx <= gap_x) & (dy <= gap_y)
                 new[i] = own[near].min() if near.any() else own[i]
             new = new[new]
             if np.array_equal(new, own):
@@ -200,54 +206,85 @@ def clusters(tokens: DataFrame, page: str, gap: float) -> DataFrame:
             own = new
         return pd.DataFrame({page: pdf[page], "seq": pdf["seq"], "cluster": pdf["seq"].to_numpy()[own]})
 
-    return tokens.select(page, "seq", "x", "y", "w", "h").groupBy(page).applyInPandas(label, f"{page} {kind[page]}, seq {kind['seq']}, cluster {kind['seq']}")
+    real = tokens.where((F.col("w") > 0) & (F.col("h") > 0))
+    return real.select(page, "seq", "x", "y", "w", "h").groupBy(page).applyInPandas(label, f"{page} {kind[page]}, seq {kind['seq']}, cluster {kind['seq']}")
 
 
 def profiles(tokens: DataFrame, page: str, by: str) -> DataFrame:
     """Counts of token kinds and the bounds of each cluster."""
-    kinds = {k: F.count_if(t.token_kind(F.col("str")) == k).alias(f"n_{k}") for k in ("digit", "contact", "role", "short", "long", "word")}
+    kinds = {k: F.count_if(t.token_kind(F.col("str")).isin(*own)).alias(f"n_{k}") for k, own in {"digit": ["digit"], "contact": ["contact"], "role": ["role"], "short": ["short"], "long": ["long"], "word": ["word", "empty"]}.items()}
     x, y = F.min("x"), F.min("y")
     return tokens.groupBy(page, by).agg(
-        F.count("*").alias("n"), *kinds.values(), x.alias("x"), y.alias("y"), (F.max(F.col("x") + F.col("w")) - x).alias("w"), (F.max(F.col("y") + F.col("h")) - y).alias("h")
+        F.count("*").alias("n"), *kinds.values(), x.alias("x"), y.alias("y"), F.greatest(F.max(F.col("x") + F.col("w")) - x, F.lit(1.0)).alias("w"), F.greatest(F.max(F.col("y") + F.col("h")) - y, F.lit(1.0)).alias("h")
     )
 
 
-def role(share_of_page: Column) -> Column:
-    """Role of a cluster by its profile, first match wins."""
-    n = F.col("n")
+def role_and_score(share_of_page: Column) -> Column:
+    """(role, score) of a cluster by its profile, first match wins."""
+    n, digit = F.col("n"), F.col("n_digit") / F.col("n")
+    short = (F.col("n_short") + F.col("n_digit")) / n
+    is_ = lambda role, score: F.struct(F.lit(role).alias("role"), F.round(score, 9).alias("score"))
     return (
-        F.when((F.col("n_contact") > 0) & (F.col("n_contact") + F.col("n_role") >= 2), "contact")
-        .when((n >= 4) & (F.col("n_digit") / n >= 0.5), "chart")
-        .when((n >= 8) & (F.col("n_digit") / n >= 0.3) & (share_of_page >= 0.1), "chart")
-        .when((n >= 8) & (F.col("n_short") / n >= 0.6), "logo_grid")
-        .when(F.col("n_long") / n >= 0.3, "body")
-        .otherwise("other")
+        F.when((F.col("n_contact") >= 1) | ((F.col("n_role") >= 1) & (digit < 0.35) & (n <= 12)), is_("contact", F.lit(0.85) + F.least(F.lit(0.1), F.col("n_contact") * 0.05)))
+        .when((n >= 4) & (digit >= 0.55), is_("chart", F.lit(0.7) + F.least(F.lit(0.25), digit)))
+        .when((n >= 6) & (digit >= 0.4) & (share_of_page >= 0.08), is_("chart", F.lit(0.65)))
+        .when((n >= 8) & (short >= 0.5) & (F.col("n_long") == 0) & (digit < 0.45), is_("logo_grid", F.lit(0.7)))
+        .when((F.col("n_long") >= 1) | ((F.col("n_word") >= 3) & (digit < 0.3) & (short < 0.5)), is_("body", F.lit(0.7)))
+        .otherwise(is_("other", F.lit(0.4)))
     )
 
 
+def regions(tokens: DataFrame, page: str, page_w: float, page_h: float) -> DataFrame:
+    """(page, seq, role, score, n, x, y, w, h): the clusters of two tokens or
+    more, and single contacts, with 8 pixels around them within the page."""
+    width, height = max(1, int(page_w)), max(1, int(page_h))
+    found = profiles(tokens.join(clusters(tokens, page, *page_gaps(width, height)), [page, "seq"]), page, "cluster")
+    found = found.withColumn("r", role_and_score(F.col("w") * F.col("h") / (width * height))).where("n >= 2 or r.role = 'contact'")
+    left, top = F.greatest(F.floor(F.col("x") - 8), F.lit(0)), F.greatest(F.floor(F.col("y") - 8), F.lit(0))
+    right, bottom = F.least(F.ceil(F.col("x") + F.col("w") + 8), F.lit(width)), F.least(F.ceil(F.col("y") + F.col("h") + 8), F.lit(height))
+    box = [left.alias("x"), top.alias("y"), F.greatest(right - left, F.lit(1)).alias("w"), F.greatest(bottom - top, F.lit(1)).alias("h")]
+    return found.select(page, F.col("cluster").alias("seq"), "r.role", "r.score", "n", *[b.cast("double").alias(c) for b, c in zip(box, ("x", "y", "w", "h"))])
+
+
 ROLES = ("chart", "body", "contact", "logo_grid", "other")
 
 
-def page_hint(regions: DataFrame, page: str) -> DataFrame:
+def page_hint(found: DataFrame, page: str) -> DataFrame:
     """The role with the greatest area times score; ties by a fixed order."""
     rank = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))
-    total = regions.groupBy(page, "role").agg(F.round(F.sum(F.col("w") * F.col("h") * F.col("score")), 6).alias("weight"))
+    total = found.groupBy(page, "role").agg(F.round(F.sum(F.col("w") * F.col("h") * F.col("score")), 6).alias("weight"))
     return total.groupBy(page).agg(F.max_by("role", F.struct("weight", -rank)).alias("hint"))
 
 
-def role_at(points: DataFrame, regions: DataFrame, page: str) -> DataFrame:
-    """Role under each box: of the regions that hold its centre the one with
-    the best score; without one, that with the largest overlap of a half or
-    more; else other."""
+def role_at(points: DataFrame, found: DataFrame, page: str) -> DataFrame:
+    """Role under each box, null if there is none. A page's regions are seen
+    in order: one that holds the box's centre is taken if none is, or if it
+    scores better than the one taken; one that covers more of the box than all
+    before, and half of it or more, is taken whatever was. So the last region to
+    raise the largest overlap to a half or more begins the count anew."""
     p = points.select(page, "id", *[F.col(c).alias(f"p{c}") for c in ("x", "y", "w", "h")])
-    r = regions.select(page, "role", "score", F.col("seq").alias("rs"), *[F.col(c).alias(f"r{c}") for c in ("x", "y", "w", "h")])
+    r = found.select(page, "role", "score", F.col("seq").alias("rs"), *[F.col(c).alias(f"r{c}") for c in ("x", "y", "w", "h")])
     cx, cy = F.col("px") + F.col("pw") / 2, F.col("py") + F.col("ph") / 2
     inside = cx.between(F.col("rx"), F.col("rx") + F.col("rw")) & cy.between(F.col("ry"), F.col("ry") + F.col("rh"))
-    best = p.join(r, page).withColumn("o", covered("p", "r")).withColumn("in", inside)
-    best = best.groupBy(page, "id").agg(F.max_by("role", F.when(F.col("in"), F.struct("score", -F.col("rs")))).alias("a"), F.max_by("role", F.when(F.col("o") >= 0.5, F.struct("o", -F.col("rs")))).alias("b"))
-    return points.select(page, "id").join(best, [page, "id"], "left").select(page, "id", F.coalesce("a", "b", F.lit("other")).alias("role"))
+    own = overlap("p", "r") / F.greatest(F.col("pw") * F.col("ph"), F.lit(1.0))
+    seen = p.join(r, page).withColumn("in", inside).withColumn("o", own).where("in or o > 0")
+    most = F.coalesce(F.max("o").over(Window.partitionBy(page, "id").orderBy("rs").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    seen = seen.withColumn("wins", (F.col("o") > most) & (F.col("o") >= 0.5))
+    anew = F.max(F.when(F.col("wins"), F.col("rs"))).over(Window.partitionBy(page, "id"))
+    seen = seen.withColumn("anew", anew).where("anew is null or rs >= anew").where("in or rs = anew")
+    # from there on the best score, the first of equals
+    best = seen.groupBy(page, "id").agg(F.max_by("role", F.struct("score", -F.col("rs"))).alias("role"))
+    return points.select(page, "id").join(best, [page, "id"], "left")
+
+
+def short_acronym_allowed(term: Column, role_: Column, hint: Column) -> Column:
+    """Shapes of words of up to three letters match parts of longer marks, so
+    they don't count in a logo grid, nor on a page that is one."""
+    letters = F.length(F.regexp_replace(term, "[^A-Za-z]", ""))
+    return ~letters.between(1, 3) | ~(F.coalesce(role_ == "logo_grid", F.lit(False)) | F.coalesce(hint == "logo_grid", F.lit(False)))
 
 
 def detector_allowed(kind: Column, role_: Column) -> Column:
     """Charts make false phones and addresses, logo grids phones and names."""
-    return ~((role_ == "chart") & kind.isin("phone", "address")) & ~((role_ == "logo_grid") & kind.isin("phone", "person"))
+    banned = ((role_ == "chart") & kind.isin("phone", "address")) | ((role_ == "logo_grid") & kind.isin("phone", "person"))
+    return ~F.coalesce(banned, F.lit(False))

@@ -76,9 +76,20 @@ def ladder(low: float, high: float) -> list[float]:
     return out
 
 
-def upscale(short_side: Column, dpi: Column) -> Column:
-    """How much a page is enlarged before small text is looked for."""
-    return F.when(dpi.isNull(), F.when(short_side < 16, 2.0).otherwise(1.0)).when(dpi < 110, 2.0).when(dpi < 160, 1.5).otherwise(1.0)
+# What makes a page coarse and a template tiny, and the factors.
+COARSE_DPI, TINY_SIDE, COARSE_FACTOR, SMALL_TEXT_FACTOR = 150, 12, 2.0, 1.5
+
+
+def upscale(short_side: Column, dpi: Column, small_text: Column | None = None, allow: Column | None = None, allow_small_text: Column | None = None) -> Column:
+    """How much a page is enlarged for a second look: coarse pages and tiny
+    templates most (where that is allowed), small text less. A missing or zero
+    number says nothing."""
+    coarse = F.coalesce((dpi > 0) & (dpi < COARSE_DPI), F.lit(False)) | F.coalesce((short_side > 0) & (short_side < TINY_SIDE), F.lit(False))
+    most = coarse if allow is None else coarse & allow
+    small = F.lit(False) if small_text is None else F.coalesce(small_text, F.lit(False))
+    if allow_small_text is not None:
+        small = small & allow_small_text
+    return F.when(most, COARSE_FACTOR).when(small, SMALL_TEXT_FACTOR).otherwise(1.0)
 
 
 def ink_correlation(px: DataFrame, page: str) -> DataFrame:

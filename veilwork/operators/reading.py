@@ -22,10 +22,15 @@ def drop_twins(words: DataFrame, page: str) -> DataFrame:
     return words.join(twins.select(a[page], F.col("aseq").alias("seq")).distinct(), [page, "seq"], "left_anti")
 
 
+def _letters(c: str) -> Column:
+    return F.length(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
+
+
 def drop_ghosts(words: DataFrame, page: str) -> DataFrame:
-    """Scraps of two letters at most, unsure, that lie by 0.6 in a sure word."""
-    ghost = words.where((F.length("str") <= 2) & (F.col("confidence") < 60))
-    sure = words.where((F.length("str") >= 3) & (F.col("confidence") >= 60))
+    """Scraps of two letters and digits at most, unsure, that lie by 0.6 in a
+    sure word of three or more."""
+    ghost = words.where((_letters("str") <= 2) & (F.col("confidence") < 60))
+    sure = words.where((_letters("str") >= 3) & (F.col("confidence") >= 60))
     hit = _as(ghost, "a", page).join(_as(sure, "b", page), page).where(covered("a", "b") >= 0.6)
     return words.join(hit.select(page, F.col("aseq").alias("seq")).distinct(), [page, "seq"], "left_anti")
 
@@ -37,18 +42,33 @@ def keep_new(old: DataFrame, new: DataFrame, page: str, share: float = 0.3) -> D
 
 
 def replace_words(old: DataFrame, new: DataFrame, page: str, margin: float = 10) -> DataFrame:
-    """A new reading takes the place of the words it overlaps by half if it is
-    surer than the surest of them by the margin; else they stay."""
+    """What a second reading adds: words with a letter or digit that overlap
+    no old word by 0.3, seen from either, and those that are surer by the margin
+    than the surest old word they overlap, which they replace. A word without a
+    confidence counts as sure."""
     a = new.select(page, *[F.col(c).alias(f"a{c}") for c in ("seq", "x", "y", "w", "h", "confidence")])
-    b = old.select(page, *[F.col(c).alias(f"b{c}") for c in ("seq", "x", "y", "w", "h", "confidence")])
-    hits = a.join(b, page).where(overlap_of_smaller("a", "b") >= 0.5)
+    b = old.select(page, *[F.col(c).alias(f"b{c}") for c in ("seq", "x", "y", "w", "h")], F.coalesce("confidence", F.lit(100.0)).alias("bconfidence"))
+    new = new.where(_letters("str") > 0)
+    hits = a.join(b, page).where((covered("a", "b") >= 0.3) | (covered("b", "a") >= 0.3))
     best = hits.groupBy(page, "aseq").agg(F.max("bconfidence").alias("surest"), F.max("aconfidence").alias("own"))
-    wins = best.where(F.col("own") >= F.col("surest") + margin).select(page, "aseq")
-    gone = hits.join(wins, [page, "aseq"]).select(page, F.col("bseq").alias("seq")).distinct()
-    used = wins.select(page, F.col("aseq").alias("seq"))
+    loses = best.where(~F.coalesce(F.col("own") >= F.col("surest") + margin, F.lit(False))).select(page, F.col("aseq").alias("seq"))
+    used = new.join(loses, [page, "seq"], "left_anti").select(page, "seq")
+    gone = hits.join(used.withColumnRenamed("seq", "aseq"), [page, "aseq"]).select(page, F.col("bseq").alias("seq")).distinct()
     return old.join(gone, [page, "seq"], "left_anti").withColumn("source", F.lit("old")).unionByName(new.join(used, [page, "seq"], "left_semi").withColumn("source", F.lit("new")))
 
 
+def keep_inverted(found: DataFrame, primary: DataFrame, page: str) -> DataFrame:
+    """Words read on an inverted band that the first reading doesn't have: two
+    letters side by side, a confidence of 50 or none, no first word that covers
+    0.45 of it, and none with the same letters near by."""
+    said = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    fit = found.where(F.col("str").rlike("[A-Za-z]{2,}") & F.coalesce(F.col("confidence") >= 50, F.lit(True)))
+    a, b = _as(fit, "a", page, "str"), _as(primary, "b", page, "str")
+    near = (F.abs(F.col("by") - F.col("ay")) < F.greatest("bh", "ah") * 1.2) & (F.abs(F.col("bx") - F.col("ax")) < F.greatest("bw", "aw") * 1.5)
+    hit = a.join(b, page).where((covered("a", "b") >= 0.45) | ((said("astr") == said("bstr")) & near))
+    return fit.join(hit.select(page, F.col("aseq").alias("seq")).distinct(), [page, "seq"], "left_anti")
+
+
 def suppress(hits: Column, cutoff: float = 0.3) -> Column:
     """Of an array of (score, seq, x, y, w, h) those that no better one
     overlaps by more than the cutoff: a greedy fold by score."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veilwork.shipping import ship
 from veilwork.sources.tables import table
 
-__all__ = ["Fixture", "Registry", "table"]
+__all__ = ["Fixture", "Registry", "kind_sql", "table"]
 
 _DUCK = {"int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]", "array<double>": "DOUBLE[]"}
 
@@ -65,3 +65,12 @@ class Registry:
             return f
 
         return add
+
+
+def kind_sql(c: str) -> str:
+    """Kind of a page token."""
+    t, bare = f"trim({c})", f"regexp_replace({c}, '[,\\s]', '', 'g')"
+    return f"""CASE WHEN {t} = '' THEN 'empty' WHEN regexp_full_match({bare}, '[0-9]{{1,6}}(\\.[0-9]+)?%?') OR regexp_full_match(regexp_replace({c}, '\\s', '', 'g'), '[0-9]{{1,3}}(,[0-9]{{3}})+') THEN 'digit'
+ WHEN regexp_matches({t}, '(?i)^(T|M|E|D|F|P|Tel|Mob|Mobile|Cell|Email|E-mail|Phone|Fax|Direct|DID|Office)\\s*[:.]') OR regexp_matches({t}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}') OR regexp_matches({t}, '\\+[0-9][0-9\\s().-]{{7,}}') THEN 'contact'
+ WHEN regexp_matches({t}, '(?i)\\b(Director|Partner|Manager|Officer|President|Associate|Analyst|Counsel)\\b') THEN 'role' WHEN length({t}) <= 6 AND regexp_matches({t}, '[A-Za-z]') AND NOT regexp_matches({t}, '\\s') THEN 'short'
+ WHEN length({t}) >= 24 OR len(string_split_regex({t}, '\\s+')) >= 4 THEN 'long' ELSE 'word' END"""

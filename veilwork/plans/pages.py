@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilwork.operators import layout as lay
 from veilwork.operators import reading as rd
-from veilwork.plans.common import Fixture, Registry
+from veilwork.plans.common import Fixture, Registry, kind_sql
 
 query = Registry()
 
@@ -36,20 +36,47 @@ WORDS = Fixture(
     "page long, seq long, str string, confidence double, x double, y double, w double, h double",
     (
         (1, 1, "Alpha", 90.0, 0.0, 0.0, 50.0, 10.0), (1, 2, "Alpha", 80.0, 5.0, 0.0, 50.0, 10.0), (1, 3, "lp", 30.0, 10.0, 2.0, 10.0, 6.0), (1, 4, "Beta", 90.0, 60.0, 0.0, 40.0, 10.0), (1, 5, "Beta", 90.0, 60.0, 1.0, 40.0, 10.0),
-        (1, 6, "no", 50.0, 200.0, 0.0, 20.0, 10.0), (1, 7, "Gamma", 55.0, 0.0, 20.0, 50.0, 10.0), (2, 1, "Alpha", 70.0, 0.0, 0.0, 50.0, 10.0), (2, 2, "Delta", 99.0, 0.0, 30.0, 50.0, 10.0), (1, 8, "Beta", 90.0, 300.0, 0.0, 40.0, 10.0),
+        (1, 6, "no", 50.0, 200.0, 0.0, 20.0, 10.0), (1, 7, "Gamma", 55.0, 0.0, 20.0, 50.0, 10.0), (2, 1, "Alpha", 70.0, 0.0, 0.0, 50.0, 10.0), (2, 2, "Delta", 99.0, 0.0, 30.0, 50.0, 10.0), (1, 8, "Beta", 90.0, 300.0, 0.0, 40.0, 10.0), (1, 9, "'l-p.", 59.0, 10.0, 2.0, 10.0, 6.0), (1, 10, "'l-p.", 60.0, 20.0, 2.0, 10.0, 6.0), (1, 11, "a-l-p", 30.0, 30.0, 2.0, 10.0, 6.0),
+    ),
+)
+INVERTED = Fixture(
+    "page long, seq long, str string, confidence double, x double, y double, w double, h double",
+    (
+        (1, 201, "Banner", 80.0, 0.0, 200.0, 50.0, 10.0), (1, 202, "B4", 90.0, 60.0, 200.0, 20.0, 10.0), (1, 203, "Soft", 49.9, 0.0, 220.0, 50.0, 10.0), (1, 204, "Sure", 50.0, 0.0, 240.0, 50.0, 10.0), (1, 205, "Bare", None, 0.0, 260.0, 50.0, 10.0), (1, 206, " ", 90.0, 0.0, 280.0, 50.0, 10.0),
+        (1, 207, "Cover", 90.0, 0.0, 5.5, 50.0, 10.0), (1, 208, "Covers", 90.0, 0.0, 5.6, 50.0, 10.0), (1, 209, "alpha", 90.0, 0.0, 11.0, 50.0, 10.0), (1, 210, "ALPHA ", 90.0, 0.0, 12.5, 50.0, 10.0), (1, 211, "beta", 90.0, 359.0, 0.0, 40.0, 10.0), (1, 212, "beta", 90.0, 361.0, 0.0, 40.0, 10.0),
+        (2, 213, "Gamma", 90.0, 0.0, 20.0, 50.0, 10.0), (3, 214, "Alone", 90.0, 0.0, 0.0, 50.0, 10.0), (1, 215, None, 90.0, 0.0, 300.0, 50.0, 10.0),
     ),
 )
 NEW = Fixture(
     "page long, seq long, str string, confidence double, x double, y double, w double, h double",
-    ((1, 101, "Gamme", 70.0, 0.0, 20.0, 50.0, 10.0), (1, 102, "Bota", 95.0, 60.0, 0.0, 40.0, 10.0), (1, 103, "Fresh", 80.0, 0.0, 60.0, 50.0, 10.0), (2, 101, "Alpho", 81.0, 2.0, 0.0, 50.0, 10.0), (2, 102, "Edge", 60.0, 40.0, 30.0, 50.0, 10.0)),
+    ((1, 101, "Gamme", 70.0, 0.0, 20.0, 50.0, 10.0), (1, 102, "Bota", 95.0, 60.0, 0.0, 40.0, 10.0), (1, 103, "Fresh", 80.0, 0.0, 60.0, 50.0, 10.0), (2, 101, "Alpho", 81.0, 2.0, 0.0, 50.0, 10.0), (2, 102, "Edge", 60.0, 40.0, 30.0, 50.0, 10.0), (2, 103, "Low", 79.0, 300.0, 300.0, 50.0, 10.0), (2, 104, "--", 99.0, 400.0, 300.0, 50.0, 10.0), (2, 105, "Dalta", 100.0, 35.0, 30.0, 50.0, 10.0)),
 )
+def _grid(page, seq, strs, x, y, columns=3):
+    return tuple((page, seq + i, t, x + 30.0 * (i % columns), y + 15.0 * (i // columns), 25.0, 10.0) for i, t in enumerate(strs))
+
+
+#: A page for each border of the roles: shares of digits, counts, long tokens.
 TOKENS = Fixture(
     "page long, seq long, str string, x double, y double, w double, h double",
-    tuple((1, i, s, 10.0 + 30 * (i % 3), 10.0 + 15 * (i // 3), 25.0, 10.0) for i, s in enumerate(("12", "34%", "5.6", "Q1", "78", "90")))
-    + tuple((1, 10 + i, s, 300.0 + 30 * (i % 3), 300.0 + 15 * (i // 3), 25.0, 10.0) for i, s in enumerate(("Acme", "Brix", "Cora", "Dune", "Elm", "Fox", "Gate", "Hale", "Iris")))
-    + ((1, 30, "Managing Director", 10.0, 500.0, 90.0, 10.0), (1, 31, "a@b.org", 10.0, 515.0, 60.0, 10.0), (2, 1, "a sentence of several words", 10.0, 10.0, 200.0, 10.0), (2, 2, "and one more of the kind", 10.0, 25.0, 200.0, 10.0), (2, 3, "word", 500.0, 500.0, 40.0, 10.0)),
+    _grid(1, 0, ("12", "34%", "5.6", "Q1", "78", "90"), 10.0, 10.0)
+    + _grid(1, 10, ("Acme", "Brix", "Cora", "Dune", "Elm", "Fox", "Gate", "Hale", "Iris"), 300.0, 300.0)
+    + ((1, 30, "Managing Director", 10.0, 500.0, 90.0, 10.0), (1, 31, "a@b.org", 10.0, 515.0, 60.0, 10.0), (2, 1, "a sentence of several words", 10.0, 10.0, 200.0, 10.0), (2, 2, "and one more of the kind", 10.0, 25.0, 200.0, 10.0), (2, 3, "word", 500.0, 500.0, 40.0, 10.0), (2, 4, "no area", 500.0, 300.0, 0.0, 10.0))
+    + _grid(3, 0, ("1", "2", "3", "4", "5", "6", "Abcdefg", "Bcdefgh", "Cdefghi", "Defghij", "Efghijk"), 10.0, 10.0)  # 6 of 11
+    + _grid(3, 20, ("1", "2", "3", "4", "Abcdefg", "Bcdefgh", "Cdefghi"), 400.0, 400.0)  # 4 of 7
+    + tuple((4, i, t, 10.0 + 35 * i, 10.0 + 18 * i, 30.0, 16.0) for i, t in enumerate(("1", "2", "3", "4", "Abcdefg", "Bcdefgh", "Cdefghi", "Defghij", "Efghijk", "5")))  # 5 of 10, large
+    + _grid(5, 0, ("Director", "1", "2", "Abcdefg", "Bcdefgh", "Cdefghi"), 10.0, 10.0) + _grid(5, 20, ("Partner", "1", "2", "3", "Abcdefg"), 400.0, 10.0) + _grid(5, 40, ("Analyst", *("Wordling",) * 12), 10.0, 400.0, 5)
+    + _grid(6, 0, ("Ab", "Cd", "Ef", "Gh", "a token of four", "Ij", "Kl", "Mn"), 10.0, 10.0) + _grid(6, 20, ("Ab", "Cd", "Ef", "Gh", "Wordling", "Wordlings", "Wordlet", "Worded"), 400.0, 10.0) + _grid(6, 40, ("Wordling", "Wordlings", "Wordlet"), 10.0, 400.0) + _grid(6, 60, ("Wordling", "Wordlings"), 400.0, 400.0) + _grid(6, 80, ("Tel: 12",), 700.0, 580.0),
+)
+POINTS = Fixture(
+    "page long, id long, kind string, x double, y double, w double, h double",
+    ((1, 1, "phone", 12.0, 12.0, 10.0, 5.0), (1, 2, "person", 310.0, 305.0, 10.0, 5.0), (1, 3, "email", 12.0, 12.0, 10.0, 5.0), (1, 4, "phone", 900.0, 900.0, 10.0, 5.0), (2, 5, "phone", 15.0, 12.0, 10.0, 5.0), (1, 6, "address", 95.0, 12.0, 10.0, 5.0))
+    + tuple((p, 10 * p + k, kind, x, y, w, 6.0) for p in (3, 4, 5, 6) for k, (kind, x, y, w) in enumerate((("phone", 12.0, 12.0, 10.0), ("person", 410.0, 20.0, 60.0), ("address", 95.0, 30.0, 20.0), ("phone", 390.0, 400.0, 24.0), ("url", 20.0, 410.0, 9.0), ("person", 0.0, 0.0, 4.0))))
+    + tuple((9, 100 + i, "phone", 10.0 * i, 10.0, w, 10.0) for i, w in enumerate((10.0, 40.0, 20.0, 30.0, 5.0, 60.0, 10.0, 80.0))),
+)
+STACKED = Fixture(
+    "page long, seq long, role string, score double, x double, y double, w double, h double",
+    ((9, 1, "body", 0.7, 0.0, 0.0, 60.0, 40.0), (9, 2, "chart", 0.95, 20.0, 0.0, 30.0, 40.0), (9, 3, "logo_grid", 0.7, 30.0, 0.0, 80.0, 40.0), (9, 4, "other", 0.4, 0.0, 0.0, 200.0, 40.0), (9, 5, "contact", 0.9, 60.0, 5.0, 10.0, 10.0), (9, 6, "chart", 0.7, 70.0, 0.0, 100.0, 15.0)),
 )
-POINTS = Fixture("page long, id long, kind string, x double, y double, w double, h double", ((1, 1, "phone", 12.0, 12.0, 10.0, 5.0), (1, 2, "person", 310.0, 305.0, 10.0, 5.0), (1, 3, "email", 12.0, 12.0, 10.0, 5.0), (1, 4, "phone", 900.0, 900.0, 10.0, 5.0), (2, 5, "phone", 15.0, 12.0, 10.0, 5.0), (1, 6, "address", 95.0, 12.0, 10.0, 5.0)))
 HITS = Fixture(
     "page long, scale long, seq long, score double, seeded boolean, x double, y double, w double, h double",
     tuple((p, s, 10 * s + i, round(0.9 - 0.07 * ((i * 3 + s * 5 + p) % 11), 2), i == 4, 10.0 * ((i * 7 + s) % 5), 12.0 * ((i + p) % 3), 11.0, 11.0) for p in (1, 2) for s in (0, 1, 2) for i in range(6)),
@@ -117,32 +144,31 @@ def span_boxes(spark, sf_dir):
     return out.select("page", "span", *[F.round(c, 6).alias(c) for c in ("x", "y", "w", "h")])
 
 
-KIND_SQL = r"""CASE WHEN trim(str) = '' THEN 'empty' WHEN regexp_matches(trim(str), '@[A-Za-z0-9-]+[.]') OR regexp_matches(trim(str), '^\+[0-9]{1,3}[ (]') THEN 'contact'
- WHEN length(regexp_replace(trim(str), '[^0-9]', '', 'g')) > 0 AND length(regexp_replace(trim(str), '[^0-9]', '', 'g')) * 2 >= length(trim(str)) THEN 'digit' WHEN regexp_matches(trim(str), '(?i)(director|partner|manager|president|officer)') THEN 'role'
- WHEN length(trim(str)) <= 6 THEN 'short' WHEN len(list_filter(string_split_regex(trim(str), '\s+'), lambda w: w <> '')) >= 4 OR length(trim(str)) >= 24 THEN 'long' ELSE 'word' END"""
-CLUSTER_SQL = f"""t AS (SELECT *, {KIND_SQL} AS kind FROM {TOKENS.sql}),
-e AS (SELECT a.page, a.seq AS u, b.seq AS v FROM t a JOIN t b ON a.page = b.page AND greatest(a.x, b.x) - least(a.x + a.w, b.x + b.w) <= 12 AND greatest(a.y, b.y) - least(a.y + a.h, b.y + b.h) <= 12),
+PAGE_W, PAGE_H = 800, 600
+CLUSTER_SQL = f"""t AS (SELECT *, {kind_sql('str')} AS kind FROM {TOKENS.sql} WHERE w > 0 AND h > 0),
+e AS (SELECT a.page, a.seq AS u, b.seq AS v FROM t a JOIN t b ON a.page = b.page AND greatest(a.x, b.x) - least(a.x + a.w, b.x + b.w) <= 32 AND greatest(a.y, b.y) - least(a.y + a.h, b.y + b.h) <= 18),
 c AS (SELECT page, u, v FROM e UNION SELECT c.page, c.u, e.v FROM c JOIN e ON c.page = e.page AND c.v = e.u), k AS (SELECT page, u AS seq, min(v) AS cluster FROM c GROUP BY page, u)"""
-REGION_SQL = f"""{CLUSTER_SQL}, p AS (SELECT k.page, cluster, count(*) AS n, {', '.join(f"count(*) FILTER (kind = '{x}') AS n_{x}" for x in ('digit', 'contact', 'role', 'short', 'long'))}, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM t JOIN k ON t.page = k.page AND t.seq = k.seq GROUP BY k.page, cluster),
-g AS (SELECT *, CASE WHEN n_contact > 0 AND n_contact + n_role >= 2 THEN 'contact' WHEN n >= 4 AND n_digit / n >= 0.5 THEN 'chart' WHEN n >= 8 AND n_digit / n >= 0.3 AND w * h / 480000.0 >= 0.1 THEN 'chart' WHEN n >= 8 AND n_short / n >= 0.6 THEN 'logo_grid' WHEN n_long / n >= 0.3 THEN 'body' ELSE 'other' END AS role FROM p),
-regions AS (SELECT *, 0.5 + 0.05 * n AS score FROM g)"""
+REGION_SQL = f"""{CLUSTER_SQL}, p AS (SELECT k.page, cluster, count(*) AS n, {', '.join(f"count(*) FILTER (kind = '{x}') AS n_{x}" for x in ('digit', 'contact', 'role', 'short', 'long'))}, count(*) FILTER (kind IN ('word', 'empty')) AS n_word,
+ min(x) AS x, min(y) AS y, greatest(max(x + w) - min(x), 1) AS w, greatest(max(y + h) - min(y), 1) AS h FROM t JOIN k ON t.page = k.page AND t.seq = k.seq GROUP BY k.page, cluster),
+g AS (SELECT *, CASE WHEN n_contact > 0 THEN 'contact' WHEN n_role > 0 AND n <= 12 AND n_digit / n < 0.35 THEN 'contact' WHEN n >= 4 AND n_digit / n >= 0.55 THEN 'chart' WHEN n >= 6 AND n_digit / n >= 0.4 AND w * h >= 0.08 * 480000 THEN 'chart+'
+ WHEN n >= 8 AND n_long = 0 AND (n_short + n_digit) / n >= 0.5 AND n_digit / n < 0.45 THEN 'logo_grid' WHEN n_long > 0 THEN 'body' WHEN n_word >= 3 AND n_digit / n < 0.3 AND (n_short + n_digit) / n < 0.5 THEN 'body' ELSE 'other' END AS r FROM p),
+q AS (SELECT page, cluster, n, replace(r, '+', '') AS role, round(CASE r WHEN 'contact' THEN 0.85 + least(0.1, 0.05 * n_contact) WHEN 'chart' THEN 0.7 + least(0.25, n_digit / n) WHEN 'chart+' THEN 0.65 WHEN 'other' THEN 0.4 ELSE 0.7 END, 9) AS score,
+ greatest(floor(x - 8), 0) AS x, greatest(floor(y - 8), 0) AS y, least(ceil(x + w + 8), 800) AS x2, least(ceil(y + h + 8), 600) AS y2 FROM g WHERE n > 1 OR r = 'contact'),
+regions AS (SELECT page, cluster, n, role, CAST(score AS DOUBLE) AS score, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(greatest(x2 - x, 1) AS DOUBLE) AS w, CAST(greatest(y2 - y, 1) AS DOUBLE) AS h FROM q)"""
 
 
 def regions(spark):
-    tokens = TOKENS.df(spark)
-    found = tokens.join(lay.clusters(tokens, "page", 12.0), ["page", "seq"])
-    p = lay.profiles(found, "page", "cluster")
-    return p.withColumn("role", lay.role(F.col("w") * F.col("h") / 480000.0)).withColumn("score", 0.5 + 0.05 * F.col("n")).withColumn("seq", F.col("cluster"))
+    return lay.regions(TOKENS.df(spark), "page", PAGE_W, PAGE_H)
 
 
 @query(f"WITH RECURSIVE {CLUSTER_SQL} SELECT page, seq, cluster FROM k")
 def token_clusters(spark, sf_dir):
-    return lay.clusters(TOKENS.df(spark), "page", 12.0)
+    return lay.clusters(TOKENS.df(spark), "page", *lay.page_gaps(PAGE_W, PAGE_H))
 
 
-@query(f"WITH RECURSIVE {REGION_SQL} SELECT page, cluster, role, n, CAST(round(score, 9) AS DOUBLE) AS score, x, y, w, h FROM regions")
+@query(f"WITH RECURSIVE {REGION_SQL} SELECT page, cluster, role, n, score, x, y, w, h FROM regions")
 def page_regions(spark, sf_dir):
-    return regions(spark).select("page", "cluster", "role", "n", F.round("score", 9).alias("score"), "x", "y", "w", "h")
+    return regions(spark).withColumnRenamed("seq", "cluster")
 
 
 @query(
@@ -153,17 +179,36 @@ def page_hints(spark, sf_dir):
     return lay.page_hint(regions(spark), "page")
 
 
-_ROLE_AT = f"""{REGION_SQL}, o AS (SELECT p.page, p.id, p.kind, r.role, r.score, r.cluster, (p.x + p.w / 2 BETWEEN r.x AND r.x + r.w) AND (p.y + p.h / 2 BETWEEN r.y AND r.y + r.h) AS inside, {over('p', 'r')} / (p.w * p.h) AS share FROM {POINTS.sql} p JOIN regions r ON p.page = r.page),
-at_ AS (SELECT p.page, p.id, p.kind, coalesce((SELECT role FROM o WHERE o.id = p.id AND inside ORDER BY score DESC, cluster LIMIT 1), (SELECT role FROM o WHERE o.id = p.id AND share >= 0.5 ORDER BY share DESC, cluster LIMIT 1), 'other') AS role FROM {POINTS.sql} p)"""
+#: Of the sweep over a page's regions: those that raise the largest overlap to a
+#: half or more begin anew, then the best score holds.
+_ROLE_AT = f"""o AS (SELECT p.page, p.id, r.role, r.score, r.cluster, (p.x + p.w / 2 BETWEEN r.x AND r.x + r.w) AND (p.y + p.h / 2 BETWEEN r.y AND r.y + r.h) AS inside, {over('p', 'r')} / greatest(p.w * p.h, 1) AS share FROM {POINTS.sql} p JOIN {{regions}} r ON p.page = r.page),
+m AS (SELECT *, share >= 0.5 AND share > coalesce((SELECT max(b.share) FROM o b WHERE b.page = o.page AND b.id = o.id AND b.cluster < o.cluster), 0) AS wins FROM o),
+at_ AS (SELECT page, id, (SELECT role FROM m WHERE m.page = p.page AND m.id = p.id AND (m.inside OR m.wins) AND m.cluster >= coalesce((SELECT max(cluster) FROM m z WHERE z.page = p.page AND z.id = p.id AND z.wins), m.cluster)
+  AND (m.inside OR m.cluster = (SELECT max(cluster) FROM m z WHERE z.page = p.page AND z.id = p.id AND z.wins)) ORDER BY score DESC, cluster LIMIT 1) AS role, kind FROM {POINTS.sql} p)"""
+_ALLOWED = "CASE WHEN role = 'chart' AND kind IN ('phone', 'address') THEN false WHEN role = 'logo_grid' AND kind IN ('phone', 'person') THEN false ELSE true END"
 
 
-@query(f"WITH RECURSIVE {_ROLE_AT} SELECT page, id, role, NOT (role = 'chart' AND kind IN ('phone', 'address')) AND NOT (role = 'logo_grid' AND kind IN ('phone', 'person')) AS allowed FROM at_")
+@query(f"WITH RECURSIVE {REGION_SQL}, {_ROLE_AT.format(regions='regions')} SELECT page, id, role, {_ALLOWED} AS allowed FROM at_")
 def role_suppression(spark, sf_dir):
     points = POINTS.df(spark)
     at = lay.role_at(points, regions(spark), "page")
     return points.join(at, ["page", "id"]).select("page", "id", "role", lay.detector_allowed(F.col("kind"), F.col("role")).alias("allowed"))
 
 
+@query(f"WITH {_ROLE_AT.format(regions=STACKED.sql.replace('seq', 'cluster'))} SELECT page, id, role FROM at_")
+def role_of_overlaps(spark, sf_dir):
+    """Regions that lie over each other: order, score and overlap all count."""
+    return lay.role_at(POINTS.df(spark), STACKED.df(spark), "page")
+
+
+ACRONYMS = Fixture("id long, term string, role string, hint string", tuple((i, w, r, h) for i, (w, r, h) in enumerate((w, r, h) for w in ("VAS", "V.A.S", "Texas", "12", "a", None, "a1b2c3d") for r in ("logo_grid", "body", None) for h in ("logo_grid", "other"))))
+
+
+@query(f"SELECT id, CASE WHEN length(regexp_replace(coalesce(term, ''), '[^A-Za-z]', '', 'g')) NOT IN (1, 2, 3) THEN true ELSE NOT (coalesce(role, '') = 'logo_grid' OR hint = 'logo_grid') END AS allowed FROM {ACRONYMS.sql}")
+def short_acronyms(spark, sf_dir):
+    return ACRONYMS.df(spark).select("id", lay.short_acronym_allowed(F.coalesce("term", F.lit("")), F.col("role"), F.col("hint")).alias("allowed"))
+
+
 @query(
     f"""WITH w AS (SELECT * FROM {WORDS.sql}) SELECT page, seq, str FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE a.page = b.page AND a.str = b.str AND a.seq <> b.seq AND (b.confidence > a.confidence OR (b.confidence = a.confidence AND b.seq < a.seq)) AND {over()} / least(a.w * a.h, b.w * b.h) >= 0.5)"""
 )
@@ -171,7 +216,7 @@ def read_twins(spark, sf_dir):
     return rd.drop_twins(WORDS.df(spark), "page").select("page", "seq", "str")
 
 
-@query(f"WITH w AS (SELECT * FROM {WORDS.sql}) SELECT page, seq, str FROM w a WHERE NOT (length(str) <= 2 AND confidence < 60 AND EXISTS (SELECT 1 FROM w b WHERE a.page = b.page AND length(b.str) >= 3 AND b.confidence >= 60 AND {over()} / (a.w * a.h) >= 0.6))")
+@query(f"WITH w AS (SELECT * FROM {WORDS.sql}) SELECT page, seq, str FROM w a WHERE NOT (length(regexp_replace(str, '[^A-Za-z0-9]', '', 'g')) < 3 AND confidence < 60 AND EXISTS (SELECT 1 FROM w b WHERE a.page = b.page AND length(regexp_replace(b.str, '[^A-Za-z0-9]', '', 'g')) > 2 AND b.confidence >= 60 AND {over()} / (a.w * a.h) >= 0.6))")
 def read_ghosts(spark, sf_dir):
     return rd.drop_ghosts(WORDS.df(spark), "page").select("page", "seq", "str")
 
@@ -182,8 +227,17 @@ def read_gaps(spark, sf_dir):
 
 
 @query(
-    f"""WITH o AS (SELECT * FROM {WORDS.sql}), n AS (SELECT * FROM {NEW.sql}), hit AS (SELECT a.page, a.seq AS ns, b.seq AS os, a.confidence AS nc, b.confidence AS oc FROM n a JOIN o b ON a.page = b.page AND {over()} / least(a.w * a.h, b.w * b.h) >= 0.5),
-win AS (SELECT page, ns FROM hit GROUP BY page, ns HAVING max(nc) >= max(oc) + 10)
+    f"""SELECT page, seq, str FROM {INVERTED.sql} a WHERE regexp_matches(str, '[A-Za-z]{{2,}}') AND coalesce(confidence, 100) >= 50 AND NOT EXISTS (SELECT 1 FROM {WORDS.sql} b WHERE a.page = b.page AND ({over()} / (a.w * a.h) >= 0.45
+ OR (trim(regexp_replace(lower(a.str), '\\s+', ' ', 'g')) = trim(regexp_replace(lower(b.str), '\\s+', ' ', 'g')) AND abs(a.y - b.y) < 1.2 * greatest(a.h, b.h) AND abs(a.x - b.x) < 1.5 * greatest(a.w, b.w))))"""
+)
+def read_inverted(spark, sf_dir):
+    return rd.keep_inverted(INVERTED.df(spark), WORDS.df(spark), "page").select("page", "seq", "str")
+
+
+@query(
+    f"""WITH o AS (SELECT * FROM {WORDS.sql}), n AS (SELECT * FROM {NEW.sql} WHERE regexp_matches(str, '[A-Za-z0-9]')),
+hit AS (SELECT a.page, a.seq AS ns, b.seq AS os, a.confidence AS nc, coalesce(b.confidence, 100) AS oc FROM n a JOIN o b ON a.page = b.page AND ({over()} / (a.w * a.h) >= 0.3 OR {over()} / (b.w * b.h) >= 0.3)),
+win AS (SELECT page, seq AS ns FROM n WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.page = n.page AND hit.ns = n.seq) OR n.confidence >= (SELECT max(oc) + 10 FROM hit WHERE hit.page = n.page AND hit.ns = n.seq))
 SELECT page, seq, str, 'old' AS source FROM o WHERE NOT EXISTS (SELECT 1 FROM hit JOIN win USING (page, ns) WHERE hit.page = o.page AND hit.os = o.seq) UNION ALL SELECT page, seq, str, 'new' FROM n WHERE EXISTS (SELECT 1 FROM win WHERE win.page = n.page AND win.ns = n.seq)"""
 )
 def read_replacements(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hmac
 import os
 import tempfile
 
@@ -104,12 +105,13 @@ def ink_correlation(spark, sf_dir):
     return pix.ink_correlation(px, "page").select("page", F.round("corr", 8).alias("corr"))
 
 
-SIZES = Fixture("id long, side double, dpi double", ((1, 10.0, None), (2, 30.0, None), (3, 30.0, 72.0), (4, 30.0, 150.0), (5, 30.0, 300.0)))
+_SIDES, _DPIS = (None, 0.0, 1.0, 11.0, 11.99, 12.0, 30.0), (None, 0.0, 72.0, 149.0, 149.99, 150.0, 300.0)
+SIZES = Fixture("id long, side double, dpi double, small boolean, most boolean, lettering boolean", tuple((i, _SIDES[i % 7], _DPIS[i // 7 % 7], i % 2 == 0, i % 3 != 0, i % 5 != 0) for i in range(98)))
 
 
-@query(f"SELECT id, CASE WHEN dpi IS NULL THEN CASE WHEN side < 16 THEN 2.0 ELSE 1.0 END WHEN dpi < 110 THEN 2.0 WHEN dpi < 160 THEN 1.5 ELSE 1.0 END::DOUBLE AS factor FROM {SIZES.sql}")
+@query(f"SELECT id, CAST(CASE WHEN most AND dpi <> 0 AND dpi < 150 THEN 2 WHEN most AND side <> 0 AND side < 12 THEN 2 WHEN lettering AND small THEN 1.5 ELSE 1 END AS DOUBLE) AS factor FROM {SIZES.sql}")
 def page_upscale(spark, sf_dir):
-    return SIZES.df(spark).select("id", pix.upscale(F.col("side"), F.col("dpi")).cast("double").alias("factor"))
+    return SIZES.df(spark).select("id", pix.upscale(F.col("side"), F.col("dpi"), F.col("small"), F.col("most"), F.col("lettering")).cast("double").alias("factor"))
 
 
 @query()
@@ -148,9 +150,12 @@ def correlation_top(spark, sf_dir):
             for qs, ids, vs in zip(pdf["qs"], pdf["ids"], pdf["vs"]):
                 qi = np.array([q["vec_id"] for q in qs])
                 q, x, ids = unit(np.array([q["v"] for q in qs])), unit(np.array(list(vs))), np.asarray(ids)
-                s = q @ x.T
+                order = np.argsort(ids, kind="stable")
+                x, ids = x[order], ids[order]
+                s = np.round(q @ x.T, 12)
                 s[qi[:, None] == ids[None, :]] = -2
-                top = np.argsort(-s, axis=1, kind="stable")[:, :8]
+                # a total order by score and then id: no more than three of a batch can stay
+                top = np.argsort(-s, axis=1, kind="stable")[:, :3]
                 yield pd.DataFrame({"query_id": np.repeat(qi, top.shape[1]), "vec_id": ids[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
 
     parts = emb.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(16)).alias("part"), F.expr("vec_id div 100000").alias("run")).agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("vs"))
@@ -163,7 +168,7 @@ def correlation_top(spark, sf_dir):
 
 @query(
     """SELECT e.event_id, count(DISTINCT json_extract_string(o.props, '$.k')) AS distinct_ids, count(DISTINCT json_extract_string(o.props, '$.k')) > 8 AS refused
-FROM events e JOIN events o ON o.user_id = e.user_id AND o.ts > e.ts - INTERVAL 10 MINUTE AND o.ts <= e.ts GROUP BY e.event_id"""
+FROM events e JOIN events o ON o.user_id = e.user_id AND o.ts >= e.ts - INTERVAL 10 MINUTE AND o.ts <= e.ts GROUP BY e.event_id"""
 )
 def rate_limit_batch(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.get_json_object("props", "$.k").alias("k"))
@@ -176,18 +181,60 @@ def first_grants(spark, sf_dir):
     return limits.first_grants(rows.select("txn", "ts", "event_id", "user_id", "event_type"), "txn", "ts").select("user_id", "event_type", "ts", "event_id")
 
 
-STAMPS = Fixture("id long, v long, exp long, signed boolean, stamp long", ((1, 1, 2000, True, 900), (2, 1, 500, True, 1300), (3, 1, 701, True, 1301), (4, None, 2000, True, 700), (5, 1, 2000, False, 699), (6, 1, 2000, None, 1000)))
+STAMPS = Fixture(
+    "id long, v long, exp long, signed boolean, stamp long, crypto boolean, key boolean",
+    ((1, 1, 2000, True, 900, True, True), (2, 1, 500, True, 1300, True, True), (3, 1, 701, True, 1301, True, True), (4, None, 2000, True, 700, True, True), (5, 1, 2000, False, 699, True, True), (6, 1, 2000, None, 1000, True, True))
+    + tuple((7 + i, (1, None)[i % 2], (2000, 700, 699, None)[i // 2 % 4], (True, False)[i // 8 % 2], 1000 - i * 20, (True, False)[i // 16 % 2], (True, False)[i // 3 % 2]) for i in range(32)),
+)
 
 
-@query(f"SELECT id, CASE WHEN v IS NULL OR exp IS NULL THEN 'unreadable' WHEN NOT coalesce(signed, false) THEN 'forged' WHEN exp + 300 < 1000 THEN 'expired' ELSE 'ok' END AS verdict, abs(1000 - stamp) <= 300 AS fresh FROM {STAMPS.sql}")
+@query(
+    f"""SELECT id, CASE WHEN v IS NULL OR exp IS NULL THEN 'unreadable' WHEN NOT crypto THEN 'nocrypto' WHEN NOT key THEN 'nokey' WHEN NOT coalesce(signed, false) THEN 'forged' WHEN exp + 300 < 1000 THEN 'expired' ELSE 'ok' END AS verdict,
+ abs(1000 - stamp) <= 300 AS fresh FROM {STAMPS.sql}"""
+)
 def token_verdicts(spark, sf_dir):
     s = F.struct("v", "exp")
-    return STAMPS.df(spark).select("id", limits.verdict(s, F.col("signed"), F.lit(1000)).alias("verdict"), limits.in_replay_window(F.col("stamp"), F.lit(1000)).alias("fresh"))
+    return STAMPS.df(spark).select("id", limits.verdict(s, F.col("signed"), F.lit(1000), F.col("crypto"), F.col("key")).alias("verdict"), limits.in_replay_window(F.col("stamp"), F.lit(1000)).alias("fresh"))
+
+
+SECRET = b"secret of the invented hooks"
+
+
+def _signed(ts: str, body: str, secret: bytes = SECRET) -> str:
+    return hmac.new(secret, f"{ts}:{body}".encode(), "sha256").hexdigest()
+
+
+HOOKS = Fixture(
+    "id long, header string, body string",
+    tuple(
+        enumerate(
+            (
+                (f"ts=1000;h1={_signed('1000', 'a')}", "a"), (f"ts=700;h1={_signed('700', 'a')}", "a"), (f"ts=1300;h1={_signed('1300', 'é')}", "é"), (f"ts=699;h1={_signed('699', 'a')}", "a"), (f"ts=1301;h1={_signed('1301', 'a')}", "a"), (f"ts=1000;h1={_signed('1000', 'a')}", "b"),
+                (f"h1={_signed('1000', '')};ts=1000", ""), (f"ts=1000;h1={_signed('1000', 'a').upper()}", "a"), (f"ts=1000;h1={_signed('1000', 'a', b'other')}", "a"), ("ts=1000", "a"), ("", "a"), (None, "a"), (f"ts=;h1={_signed('', 'a')}", "a"), (f"ts=x;h1={_signed('x', 'a')}", "a"),
+                (f"ts=1000;h1=0;h1={_signed('1000', 'a')}", "a"), (f"ts=1000;h1={_signed('1000', 'a')};h1=0", "a"), (f"ts=1000;v=1=2;h1={_signed('1000', 'a')}", "a"), (f"ts=1000;h1={_signed('1000', 'a')}0", "a"), (f"ts=1000;h1={_signed('1000', 'x' * 300)}", "x" * 300),
+            )
+        )
+    ),
+)
+HOOKS = Fixture(HOOKS.schema, tuple((i, h, b) for i, (h, b) in HOOKS.rows))
+_PADS = [p.hex() for p in limits.hmac_pads(SECRET)]
+
+
+@query(
+    f"""WITH p AS (SELECT id, body, list_filter(list_transform(string_split(coalesce(header, ''), ';'), lambda x: string_split(x, '=')), lambda x: len(x) = 2) AS ps FROM {HOOKS.sql}),
+v AS (SELECT id, body, list_filter(ps, lambda x: x[1] = 'ts')[-1][2] AS ts, list_filter(ps, lambda x: x[1] = 'h1')[-1][2] AS h1 FROM p)
+SELECT id, coalesce(ts <> '' AND abs(1000 - TRY_CAST(ts AS DOUBLE)) <= 300 AND h1 = sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(ts || ':' || body)))), false) AS holds FROM v"""
+)
+def webhook_signatures(spark, sf_dir):
+    return HOOKS.df(spark).select("id", limits.signature_holds(F.col("header"), F.col("body"), SECRET, F.lit(1000)).alias("holds"))
 
 
 def run_stream(spark, stream, schema):
     """Run a stream to the end of what is there, into the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="veilwork-stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="veilwork-stream-")
     at = f"{root}/stream-{os.urandom(8).hex()}"
     q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -200,12 +247,15 @@ def _events(spark, sf_dir):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+@query(
+    """WITH v AS (SELECT e.event_id, e.user_id, count(DISTINCT json_extract_string(o.props, '$.k')) > 8 AS refused
+FROM events e JOIN events o ON o.user_id = e.user_id AND o.ts >= e.ts - INTERVAL 10 MINUTE AND o.ts <= e.ts GROUP BY e.event_id, e.user_id) SELECT user_id, count(*) AS n, count(*) FILTER (refused) AS n_refused FROM v GROUP BY user_id"""
+)
 def stream_rate_limit(spark, sf_dir):
     """The stateful limiter over the stream of events: every attempt gets a verdict."""
     s = _events(spark, sf_dir).select("user_id", F.get_json_object("props", "$.k").alias("k"), F.col("ts").cast("timestamp").alias("ts"))
     out = run_stream(spark, limits.stream_refused(s, "user_id", "k", "ts"), "user_id long, k string, ts timestamp, refused boolean")
-    return out.groupBy("user_id").agg(F.count("*").alias("n"))
+    return out.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("refused").alias("n_refused"))
 
 
 @query("SELECT user_id, event_type, CAST(1 AS BIGINT) AS n FROM events GROUP BY user_id, event_type")

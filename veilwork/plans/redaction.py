@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilwork.functions import text as t
 from veilwork.operators import labels as lab
 from veilwork.operators import spans as sp
+from veilwork.plans import detect_sql as sql
 from veilwork.plans.common import Fixture, Registry, table
 from veilwork.sources import tables as src
 
@@ -16,37 +17,9 @@ TERMS = ("example.com", "Licensed under", "password", "mail3", "the Apache Licen
 OVERRIDES = Fixture("identity string, label string", (("term:password", "login word"), ("term:the apache license", "")))
 
 
-def _lit(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def scan_sql(source: str, key: str, text: str, pattern: str) -> str:
-    """All matches with offsets: lengths of the gaps and matches before."""
-    p = _lit(pattern)
-    return f"""(SELECT k AS {key}, t AS whole, CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS INTEGER) AS start, m[i] AS text
- FROM (SELECT {key} AS k, {text} AS t, regexp_extract_all({text}, {p}) AS m, string_split_regex({text}, {p}) AS g, unnest(range(1, len(regexp_extract_all({text}, {p})) + 1)) AS i FROM {source} WHERE regexp_matches({text}, {p})))"""
-
-
-def _detector_sql(kind: str, source: str = "documents", key: str = "doc_id", text: str = "text") -> str:
-    pattern, keep, short = {
-        "email": (sp.EMAIL, "true", "text"),
-        "phone": (sp.PHONE, "length(regexp_replace(text, '[^0-9]', '', 'g')) BETWEEN 8 AND 15", "text"),
-        "url": (sp.URL, "true", f"regexp_replace(text, {_lit(sp.URL_END)}, '')"),
-    }[kind]
-    return f"SELECT {key}, '{kind}' AS kind, start, CAST(start + length(x) AS INTEGER) AS \"end\", 'high' AS confidence, CAST(NULL AS VARCHAR) AS term, x AS text FROM (SELECT *, {short} AS x FROM {scan_sql(source, key, text, pattern)} WHERE {keep})"
-
-
-def _term_sql(term: str) -> str:
-    before, after = sp._edge(term[0]), sp._edge(term[-1])
-    pattern = "(?i)" + (f"(?:^|[^{before}])" if before else "") + sp.term_body(term)
-    lead = f"CASE WHEN regexp_matches(text, '^[^{before}]') THEN 1 ELSE 0 END" if before else "0"
-    tail = f"NOT regexp_matches(substr(whole, start + lead + length(text) - lead + 1, 1), '[{after}]')" if after else "true"
-    return f"""SELECT doc_id, 'term' AS kind, CAST(start + lead AS INTEGER) AS start, CAST(start + length(text) AS INTEGER) AS "end", 'high' AS confidence, {_lit(term)} AS term, substr(text, 1 + lead) AS text
- FROM (SELECT *, {lead} AS lead FROM {scan_sql("documents", "doc_id", "text", pattern)}) WHERE {tail}"""
-
-
+_lit, scan_sql, _detector_sql, _term_sql = sql.lit, sql.scan, sql.detector, sql.term
 TERMS_SQL = " UNION ALL ".join(_term_sql(x) for x in sorted(TERMS, key=lambda x: (-len(x), x)))
-FOUND_SQL = " UNION ALL ".join([_detector_sql(k) for k in ("email", "phone", "url")] + [TERMS_SQL])
+FOUND_SQL = " UNION ALL ".join([_detector_sql(k) for k in sp.DETECTORS] + [TERMS_SQL])
 #: Greedy resolution a rank at a time: an oracle of another shape than the fold.
 RESOLVE_SQL = f"""found AS ({FOUND_SQL}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start - "end", CASE confidence WHEN 'high' THEN 0 ELSE 1 END, start, coalesce(term, ''), kind) AS r FROM found),
@@ -90,7 +63,7 @@ def spans_terms(spark, sf_dir):
 @query(
     f"""WITH RECURSIVE {RESOLVE_SQL}
 SELECT k.doc_id, k.kind, k.start, k."end", k.text, k.kind || ':' || k.start || ':' || k."end" AS id,
- coalesce((SELECT string_agg(x.term, ',' ORDER BY x.r) FROM ranked x WHERE x.doc_id = k.doc_id AND x.kind = 'term' AND x.r > k.r AND k.start <= x.start AND x."end" <= k."end"), '') AS holds FROM kept k"""
+ coalesce((SELECT string_agg(term, ',' ORDER BY r) FROM (SELECT x.term, min(x.r) AS r FROM ranked x WHERE x.doc_id = k.doc_id AND x.kind = 'term' AND x.r > k.r AND k.start <= x.start AND x."end" <= k."end" GROUP BY x.term)), '') AS holds FROM kept k"""
 )
 def spans_resolved(spark, sf_dir):
     return resolved(spark, sf_dir).select("doc_id", "kind", "start", "end", "text", "id", F.array_join("holds", ",").alias("holds"))
@@ -134,13 +107,13 @@ _NAME = r"""(NOT regexp_matches(trim(v), '[0-9]') AND trim(v) <> '' AND len(list
  AND len(list_filter(string_split_regex(trim(v), '\s+'), lambda w: w <> '' AND NOT (regexp_matches(w, '^[A-Z][\p{L}''’-]*$') AND NOT (length(w) > 1 AND w = upper(w))))) = 0)"""
 ENTRIES_SQL = f"""WITH RECURSIVE {RESOLVE_SQL},
 things AS (SELECT *, kind || ':' || trim(regexp_replace(lower(coalesce(CASE WHEN kind = 'term' THEN term END, text)), '\\s+', ' ', 'g')) AS identity, coalesce(term, text) AS v FROM kept),
-groups AS (SELECT doc_id, identity, min(start) AS first, count(*) AS "count", arg_min(text, start) AS value, min(kind) AS kind, bool_or(kind = 'term' AND {_NAME}) AS name FROM things GROUP BY doc_id, identity),
+groups AS (SELECT doc_id, identity, min(start) AS first, count(*) AS "count", arg_min(v, start) AS value, min(kind) AS kind, bool_or(kind = 'term' AND {_NAME}) AS name FROM things GROUP BY doc_id, identity),
 named AS (SELECT *, CASE WHEN name THEN 'person' ELSE kind END AS category FROM groups),
 entries AS (SELECT doc_id, identity, category, {_DESCRIPTION} AS description, {_CATEGORY} || row_number() OVER (PARTITION BY doc_id, category ORDER BY first, identity) AS suggested, value, "count", first FROM named)"""
 
 
 @query(
-    f"""{ENTRIES_SQL} SELECT e.doc_id, e.identity, category, description, suggested, coalesce(left(regexp_replace(regexp_replace(upper(o.label), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 40), suggested) AS label, value, "count", first
+    f"""{ENTRIES_SQL} SELECT e.doc_id, e.identity, category, description, suggested, coalesce(nullif(left(regexp_replace(regexp_replace(upper(o.label), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 40), ''), suggested) AS label, value, "count", first
 FROM entries e LEFT JOIN {OVERRIDES.sql} o ON e.identity = o.identity"""
 )
 def labels_assigned(spark, sf_dir):
@@ -170,9 +143,7 @@ lagged AS (SELECT k.*""",
 )
 def redact_placeholders(spark, sf_dir):
     """The flagship: detect, resolve, label, replace."""
-    kept = resolved(spark, sf_dir)
-    marked = kept.withColumn("identity", lab.identity(F.col("kind"), F.col("text"), F.col("term")))
-    named = marked.join(lab.assign(kept, "doc_id").select("doc_id", "identity", "label"), ["doc_id", "identity"])
+    named = lab.labelled(resolved(spark, sf_dir), "doc_id")
     return sp.apply(table(spark, sf_dir, "documents"), named, "doc_id", "text", t.render_label(F.col("label")))
 
 
