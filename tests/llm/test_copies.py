@@ -146,19 +146,12 @@ def test_lines_like_brute_force(spark):
         line = rng.choice(base)
         lines.append(" ".join(changed(line, rng.randint(0, 2), rng)))
         if i % 5 == 0:
-            lines.append(" ".join(prose(300, random.Random(1))))  # longer than a lane
+            lines.append(" ".join(prose(300, random.Random(1))))
         rng.shuffle(lines)
         docs.append((i, "\n".join(lines)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r["doc_id"]: r for r in linededup.dedup_lines(df).collect()}
-    # the SimHash by its definition, from Spark's own hash of each word
-    places = [(d, n, line) for d, t in docs for n, line in enumerate(t.split("\n")) if len(line.split()) >= 5]
-    words = sorted({w for *_, line in places for w in line.split()})
-    h = {r["w"]: r["h"] & (2**64 - 1) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-    sig = []
-    for *_, line in places:
-        own = set(line.split())
-        sig.append([sum(sum(h[w] >> b & 1 for w in own) * 2 > len(own) and 1 << (b % 16) for b in range(k, k + 16)) for k in (0, 16, 32, 48)])
+    places = [(d, n, line) for d, t in docs for n, line in enumerate(t.split("\n"))]
 
     def distance(a, b):
         last = list(range(len(b) + 1))
@@ -169,11 +162,14 @@ def test_lines_like_brute_force(spark):
             last = row
         return last[-1]
 
-    links = []
+    # all pairs by their edit similarity, whatever their blocks
+    links, known = [], {}
     for i in range(len(places)):
         for j in range(i):
-            a, b = places[i][2], places[j][2]
-            if a == b or (sum(x == y for x, y in zip(sig[i], sig[j])) >= 2 and 1 - distance(a, b) / max(len(a), len(b)) >= 0.8):
+            a, b = sorted((places[i][2], places[j][2]))
+            if (a, b) not in known:
+                known[a, b] = a == b or (min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and 1 - distance(a, b) / max(len(a), len(b)) >= 0.8)
+            if known[a, b]:
                 links.append((i, j))
     root = union(links)
     gone = {(places[i][0], places[i][1]) for i in range(len(places)) if root.get(i, i) != i}
@@ -184,6 +180,47 @@ def test_lines_like_brute_force(spark):
         assert (got[d]["n_lines"], got[d]["n_removed"]) == (len(t.split("\n")), len(t.split("\n")) - len(want))
 
 
+def test_line_distance_bounds(spark):
+    """similar() against the distance by its definition: what settles a pair
+    without computing it must not change a verdict."""
+    rng = random.Random(14)
+    pairs = []
+    for k in range(300):
+        a = prose(rng.choice((2, 6, 20, 60)), rng)
+        b = changed(a, rng.randint(0, min(len(a), 12)), rng)
+        for _ in range(rng.randint(0, 3)):
+            i, j = sorted((rng.randint(0, len(b)), rng.randint(0, len(b))))
+            b = b[:i] + b[j : j + 3] + b[i:j] if k % 3 else b[:i] + b[i + 1 :]
+        pairs.append((2 * k, 2 * k + 1, " ".join(a), " ".join(b)))
+
+    def distance(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+            last = row
+        return last[-1]
+
+    got = {r["a"] for r in linededup.similar(spark.createDataFrame(pairs, "a long, b long, na string, nb string"), 0.8).collect()}
+    want = {i for i, _, a, b in pairs if distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)}
+    assert got == want and 50 < len(want) < 250
+
+
+def test_line_columns_that_clash(spark):
+    rows = [(1, "a line of some words\na line of some words", 5, "x", "y", "z"), (2, "a line of some words", 6, "x", "y", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, doc string, th string, removed string")
+    got = sorted(linededup.dedup_lines(df).collect())
+    assert [(r["text"], r["n_lines"], r["n_removed"], r["doc"], r["removed"]) for r in got] == [("a line of some words", 2, 1, "x", "z"), ("", 1, 1, "x", "z")]
+
+
+def test_very_long_lines(spark):
+    words = prose(4000, random.Random(2))
+    other = changed(words, 30, random.Random(3))
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(prose(4000, random.Random(4)))), (4, "x" * 200_000)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in linededup.dedup_lines(df).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
+
+
 def test_line_edges(spark, odd):
     rows = linededup.dedup_lines(odd).collect()
     assert len(rows) == len(ODD) and set(odd.columns) < set(rows[0].asDict())
@@ -253,6 +290,33 @@ def test_shards(spark):
 
 def test_shard_edges(spark, odd):
     assert sharding.shard_documents(odd).count() == len(ODD)
+
+
+def test_shards_of_a_large_group(spark):
+    """A group that needs twenty shards fills twenty; no more edges are cut than
+    the sizes force."""
+    rows = [(i, "the same text" if i < 2000 else f"text {i}") for i in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sharding.shard_documents(df, 24).collect()
+    held = Counter(r["shard"] for r in out if r["doc_id"] < 2000)
+    assert len(held) == 20 and set(held.values()) == {100}
+    again = {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard_documents(df.repartition(7), 24).collect()}
+    assert again == {(r["doc_id"], r["shard"], r["slot"]) for r in out}  # however the table lies
+
+
+def test_shards_of_many_groups(spark):
+    rng = random.Random(5)
+    rows = [(i, f"text {rng.randint(0, 300)}" if i % 3 else f"alone {i}") for i in range(1500)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 24).collect()
+    at = {r["doc_id"]: r["shard"] for r in out}
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(at[i])
+    # a group larger than what is left of a shard may be split, few are
+    assert sum(len(set(g)) > 1 for g in groups.values() if len(g) > 1) <= 24
+
+
+def test_shards_of_no_rows(spark, odd):
     assert sharding.shard_documents(odd.where("false")).count() == 0
 
 
@@ -294,6 +358,21 @@ def test_embeddings_like_brute_force(spark, monkeypatch, block):
     check_vectors(spark, rows)
 
 
+def test_embeddings_of_any_magnitude(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8)
+    rows = [(i, (base + rng.normal(size=8) * 0.05).tolist()) for i in range(30)]
+    for k, scale in enumerate((1e-170, 1e-300, 1e-320, 1e200, 1e300)):
+        rows += [(100 + 2 * k, (base * scale).tolist()), (101 + 2 * k, (-base * scale).tolist())]
+    rows += [(200, [1e-170, -1e-170, *[0.0] * 6]), (201, [1e300, 1e-300, *[0.0] * 6]), (202, [1e-5, 0.0, *[0.0] * 6])]
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    unit = {i: (lambda v: v / np.linalg.norm(v))(np.array(v) / np.abs(v).max()) for i, v in rows}
+    for i in unit:
+        want = sorted(j for j in unit if j != i and unit[i] @ unit[j] >= 0.9)
+        assert got[i]["n_links"] == len(want), i
+    assert got[5]["n_links"] == 29 + 5 and got[201]["component_id"] == 201 and got[202]["component_id"] == 201
+
+
 def test_embeddings_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(none).count() == 0
@@ -316,7 +395,7 @@ PII = [
 
 def test_surrogates(spark):
     df = spark.createDataFrame([(*r, "clash") for r in PII], "doc_id long, text string, new string")
-    rows = pii.replace_pii(df).collect()
+    rows = pii.replace_pii(df, "k").collect()
     assert len(rows) == len(PII) and rows[0]["new"] == "clash"
     out = {r["doc_id"]: r["text"] for r in rows}
     assert (out[5], out[6], out[7]) == (None, "", PII[6][1])
@@ -337,12 +416,12 @@ def test_surrogates(spark):
     assert re.search(r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d", out[4])
     other = {r["doc_id"]: r["text"] for r in pii.replace_pii(df, key="another").collect()}
     assert other[1] != out[1]
-    assert pii.replace_pii(df.where("false")).count() == 0
+    assert pii.replace_pii(df.where("false"), "k").count() == 0
 
 
 def test_surrogates_stay_distinct(spark):
     rows = [(i, f"host {i // 250 + 1}.{i % 250 + 1}.7.9 and 10{i:02d}-x, +1 (20{i % 10}) 555-{i:04d}") for i in range(400)]
-    out = {r["doc_id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r["doc_id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     hosts = [re.search(r"\d+\.\d+\.\d+\.\d+", t)[0] for t in out.values()]
     phones = [re.search(r"\+1.*\d{4}$", t)[0] for t in out.values()]
     assert len(set(hosts)) == len(set(phones)) == 400
@@ -350,9 +429,80 @@ def test_surrogates_stay_distinct(spark):
     assert not any(p in real for p in phones)
 
 
+def luhn_ok(s):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def test_full_number_spaces(spark):
+    """Where all numbers of a length occur, they change places; it ends."""
+    values = [("phone", f"{i:04d}") for i in range(10_000)] + [("phone", f"{i:05d}") for i in range(10_000, 90_000, 7)] + [("card", f"{i:013d}") for i in range(10**12, 10**12 + 500)]
+    got = pii.surrogates(spark.createDataFrame(values, "unit string, value string"), "k", Workspace(spark, "test")).collect()
+    assert len(got) == len(values) == len({(r["unit"], len(r["new"]), r["new"]) for r in got})
+    assert all(r["new"] != r["value"] and len(r["new"]) == len(r["value"]) and (r["new"][0] == "0") == (r["value"][0] == "0") for r in got)
+    assert {r["new"] for r in got if len(r["new"]) == 4} == {f"{i:04d}" for i in range(10_000)}
+    cards = [r for r in got if r["unit"] == "card"]
+    assert all(luhn_ok(r["new"]) == luhn_ok(r["value"]) for r in cards) and sum(luhn_ok(r["new"]) for r in cards) == 50
+
+
+def test_permutation_and_its_inverse(spark):
+    rows = [(f"{i:0{n}d}",) for n in (1, 2, 3) for i in range(10**n)] + [("9" * 30,), ("0" * 30,), ("123456789012345678901234567890",)]
+    p = lambda c, back=False: pii._permuted(c, "k", F.lit("u"), F.lit(0), back)
+    got = spark.createDataFrame(rows, "v string").select("v", p(F.col("v")).alias("p")).select("v", "p", p(F.col("p"), True).alias("q")).collect()
+    assert all(r["v"] == r["q"] and len(r["p"]) == len(r["v"]) for r in got)
+    for n in (1, 2, 3):
+        assert len({r["p"] for r in got if len(r["v"]) == n}) == 10**n
+
+
+def test_ibans_keep_their_check(spark):
+    codes = ["GB82WEST12345698765432", "DE89370400440532013000", "FR1420041010050500013M02606", "GB83WEST12345698765432"]
+    df = spark.createDataFrame(list(enumerate(f"to {c} now" for c in codes)), "doc_id long, text string")
+    got = [r["text"].split()[1] for r in sorted(pii.replace_pii(df, "k").collect())]
+    rest = lambda c: int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97
+    assert [rest(c) == 1 for c in got] == [True, True, True, False] and len(set(got)) == 4
+    for c, new in zip(codes, got):
+        assert c != new and [x.isdigit() for x in c[4:]] == [x.isdigit() for x in new[4:]] and c[:2] == new[:2]
+    assert got[0][4:] == got[3][4:]  # one account
+
+
+def test_names_beyond_lists(spark):
+    texts = ["Ask Dr. Smith today.", "my name is Tamsin Obuya, hello", "Name: Wei Chen", "MR JOHN SMITH paid", "Prof. Ada Lovelace Byron wrote", "Signed, Quentin Vance", "Priya Raman called", "the name is unknown to us", "Doctor Who", "Regards, the team"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_entities"], r["text"]) for r in pii.replace_pii(df, "k").collect()}
+    assert [got[i][0] for i in range(len(texts))] == [1, 1, 1, 1, 1, 1, 1, 0, 1, 0]
+    assert got[0][1].startswith("Ask Dr. ") and "Smith" not in got[0][1] and got[3][1].startswith("MR ") and got[2][1].startswith("Name: ")
+
+
+def test_long_texts_of_addresses(spark):
+    texts = ["x@a" + ".a" * 30_000, "x@a" + ".a" * 30_000 + ".org", "@" * 50_000, "a." * 50_000 + "b@c.org", "x@y..org", "one a@b.org..c and d@e.f.net."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_entities"] for r in pii.replace_pii(df, "k").collect()}
+    assert got[0] == 0 and got[1] == 1 and got[2] == 0 and got[3] == 1 and got[5] >= 1
+
+
+def test_entities_like_a_plain_search(spark):
+    """What is replaced, against Python's own search by the same kinds."""
+    rng = random.Random(8)
+    parts = ["jo@x.org", "a.b@c-d.co.uk", "+44 20 7946 0001", "+1 (415) 555-0134", "123-45-6789", "4539578763621486", "10.0.0.1", "256.1.1.1", "GB82WEST12345698765432", "Mr. Rowan Hale", "word", "2024-01-02", "1.2.3", "Anna Lee", "@", "+", "12 34"]
+    texts = [" ; ".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    import regex
+
+    kinds = regex.compile("|".join(f"(?:{p})" for p in pii.PATTERNS.values()))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_entities"]) for r in pii.replace_pii(df, "k").collect()}
+    new = {}
+    for i, t in enumerate(texts):
+        assert got[i][1] == len(kinds.findall(t))
+        for old, x in zip(t.split(" ; "), got[i][0].split(" ; "), strict=True):
+            if kinds.fullmatch(old):
+                assert new.setdefault(old.lower(), x) == x and x != old  # one surrogate for each
+            elif not kinds.search(old):
+                assert x == old  # the text between entities stays
+    assert len(set(new.values())) == len(new)
+
+
 def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     plain = pii._plain
-    monkeypatch.setattr(pii, "_plain", lambda kind, value, h, attempt: F.when(attempt < 2, F.lit("same")).otherwise(plain(kind, value, h, attempt)))
+    monkeypatch.setattr(pii, "_plain", lambda key, kind, value, h, attempt, moved: F.when(attempt < 2, F.lit("same")).otherwise(plain(key, kind, value, h, attempt, moved)))
     values = spark.createDataFrame([("local", f"user{i}") for i in range(20)] + [("local", "same")], "unit string, value string")
     got = pii.surrogates(values, "k", Workspace(spark, "test")).collect()
     assert len(got) == len({r["new"] for r in got}) == 21 and "same" not in {r["new"] for r in got}

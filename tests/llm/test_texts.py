@@ -47,6 +47,50 @@ def test_bpe_like_library(text):
     check_bpe(text)
 
 
+@settings(max_examples=600, deadline=None)
+@given(st.text(st.characters(codec="utf-8"), max_size=60))
+def test_bpe_like_library_everywhere(text):
+    check_bpe(text)
+
+
+def test_bpe_marks_like_library():
+    """Every mark that a normaliser may move or compose, after and before
+    others, as the library's Unicode version has it."""
+    import unicodedata
+
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    text = " ".join(f"a\u0345{m} e{m}\u0301 {m}\u0334\u0345" for m in marks)
+    pairs = [unicodedata.decomposition(chr(c)) for c in range(0x110000)]
+    text += " " + " ".join("".join(chr(int(x, 16)) for x in d.split()) for d in pairs if d and d[0] != "<")
+    check_bpe(text)
+
+
+def test_bpe_merges_by_definition():
+    """The backtracking encoder against merges applied one after the other."""
+    v, rng = OWN.v, __import__("random").Random(12)
+    tokens = [t for t in v.text_of if t]
+    for _ in range(400):
+        word = "".join(rng.choice(tokens) for _ in range(rng.randint(1, 4)))
+        word = "".join(chr(ord(c) - 0x1000) if ord(c) >= 0x1000 else c for c in word)
+        parts = [v.by_text[c] for c in word[:-1] + chr(ord(word[-1]) + 0x1000)]
+        while True:
+            best = min(((v.merged.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:]))), default=(1 << 60, 0))
+            if best[0] == 1 << 60:
+                break
+            parts[best[1] : best[1] + 2] = [best[0]]
+        assert v.encode_word(word) == [v.id_of[r] for r in parts], word
+
+
+def test_memory_of_words_is_bounded():
+    from veilwork.llm.common import Memo
+
+    memo = Memo(lambda w: b"x" * len(w), 100_000)
+    for i in range(5000):
+        assert memo[str(i)] == b"x" * len(str(i))
+    assert memo.used <= 100_000 and 0 < len(memo) < 500 and len(memo.old) < 500
+    assert memo["y" * 20_000] == b"x" * 20_000 and "y" * 20_000 not in memo
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("abcdefghinorst'", max_size=40))
 def test_bpe_letters_like_library(text):
@@ -176,6 +220,21 @@ def test_chat_round_trip(turns):
     assert [(r, t) for r, t, _, _ in chat.parse(text)] == turns
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool] ", "", "é"]), st.lists(st.sampled_from(["[INST]", " [/INST]\n", " </s>\n", "<s> ", "\\", "[ROLE x] ", " ", "\n", "x"]), max_size=6).map("".join)), min_size=1, max_size=5), st.lists(st.integers(0, 400), max_size=12))
+def test_chat_stream_cut_anywhere(turns, cuts):
+    """The reader finds the turns whatever pieces the conversation comes in."""
+    text = "".join(chat.format_turn(r, t) for r, t in turns)
+    cuts = sorted({0, len(text), *(c for c in cuts if c < len(text))})
+    reader, spans = chat._Reader(), []
+    for a, b in zip(cuts, cuts[1:]):
+        spans += reader.feed(text[a:b])
+    spans += reader.close()
+    assert reader.n_turns == len(turns) and reader.formatted_chars == len(text)
+    assert reader.turns.hexdigest() == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert [chat.unescape(text[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
+
+
 def test_chat_query(spark, sf):
     rows = spark.read.parquet(f"{sf}/conversations.parquet").orderBy("conv_id", "turn").collect()
     by = {-1: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}

@@ -25,10 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilwork.llm.common import Memo, ship
+from veilwork.llm.common import Memo, ship, unused
 
-#: Words and chunks of text that a worker remembers, in each of two generations.
-CACHE = 100_000
+#: Bytes of words, and of chunks of text, that a worker remembers, in each of two
+#: generations.
+CACHE = 24 << 20
+
+
+#: Pairs of tokens whose compatibility is remembered.
+PAIRS = 50_000
+#: After every merge.
+NEVER = 1 << 60
 
 
 def byte_symbols() -> str:
@@ -81,6 +88,12 @@ class Vocabulary:
             self.automaton.add_word(t[::-1], r)
         self.automaton.make_automaton()
         self.shorter = [self._shorter(t) for t in self.text_of]
+        self.known: dict[tuple[int, int], bool] = {}
+        # what a token grows through at its end and at its beginning; parts come first
+        self.ends, self.begins = [], []
+        for r, (a, b) in enumerate(self.parts):
+            self.ends.append((r,) if a == r else (*self.ends[b], r))
+            self.begins.append((r,) if a == r else (*self.begins[a], r))
         # decoding: every token followed by a blank, one after the other
         blob = [n.encode() + b" " for n in self.names]
         self.sizes = np.array([len(b) for b in blob], dtype=np.int64)
@@ -107,31 +120,24 @@ class Vocabulary:
         return -1
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether the border between tokens a and b stays when all merges are
-        applied: walking down both splits towards the border, no pair that
-        meets there may have a merge that comes before the splits undone so
-        far."""
-        before, limit = self.merged, 1 << 60
+        """Whether the border between tokens a and b stays when the merges are
+        applied to both texts in their order. Next to the border, a grows
+        through the tokens that end it and b through those that begin it, each
+        when its number comes; the border goes if the pair that stands there
+        has a merge whose turn is before both. Of one number the left is first."""
+        left, right, i, j = self.ends[a], self.begins[b], 0, 0
         while True:
-            m = before.get((a, b))
-            if m is not None and m < limit:
+            grow_left = left[i + 1] if i + 1 < len(left) else NEVER
+            grow_right = right[j + 1] if j + 1 < len(right) else NEVER
+            border = self.merged.get((left[i], right[j]), NEVER)
+            if border < grow_left and border <= grow_right and border != NEVER:
                 return False
-            if a > b:
-                limit = a
-                a = self.parts[a][1]
-                if a == limit:
-                    limit = b + 1
-                    b = self.parts[b][0]
-                    if b + 1 == limit:
-                        return True
+            if grow_left <= grow_right:
+                if grow_left == NEVER:
+                    return True
+                i += 1
             else:
-                limit = b + 1
-                b = self.parts[b][0]
-                if b + 1 == limit:
-                    limit = a
-                    a = self.parts[a][1]
-                    if a == limit:
-                        return True
+                j += 1
 
     def longest(self, word: str) -> list[int]:
         """For each place of the word, the longest token that starts there."""
@@ -151,12 +157,20 @@ class Vocabulary:
             return [self.id_of[whole]]
         n = len(word)
         longest, lengths, shorter = self.longest(word), self.lengths, self.shorter
-        dead, out, at, token = set(), [], 0, None
+        dead, out, at, token, known = set(), [], 0, None, self.known
         while at < n:
             if token is None:
                 token = longest[at]
             end = at + lengths[token]
-            if end not in dead and (not out or self.compatible(out[-1], token)):
+            fits = True
+            if out and end not in dead:
+                pair = (out[-1], token)
+                fits = known.get(pair)
+                if fits is None:
+                    if len(known) >= PAIRS:
+                        known.clear()
+                    known[pair] = fits = self.compatible(*pair)
+            if fits and end not in dead:
                 out.append(token)
                 at, token = end, None
             elif shorter[token] >= 0:
@@ -192,6 +206,15 @@ NEWER = (
     "\U00011de0-\U00011de9 \U0001246f \U00012475-\U0001247f \U00012550-\U00012686 \U00016ff4-\U00016ff6 "
     "\U0002cea2-\U0002cead \U000323b0-\U00033479 \U0003d000-\U0003fc3f"
 ).replace(" ", "")
+# Marks that the tokenizers library's NFC doesn't know: it neither
+# reorders nor composes them.
+UNKNOWN_MARKS = (
+    "\u07fd \u0898-\u089f \u08ca-\u08d3 \u09fe \u0c3c \u0d3b-\u0d3c \u0eba \u1715 \u1abf-\u1ace \u1df6-\u1dfa \ua82c \U00010d24-\U00010d27 "
+    "\U00010eab-\U00010eac \U00010efd-\U00010eff \U00010f46-\U00010f50 \U00010f82-\U00010f85 \U00011070 \U0001133b \U0001145e "
+    "\U00011839-\U0001183a \U00011930 \U0001193d-\U0001193e \U00011943 \U000119e0 \U00011a34 \U00011a47 \U00011a99 \U00011d42 "
+    "\U00011d44-\U00011d45 \U00011d97 \U00011f41-\U00011f42 \U00016ff0-\U00016ff1 \U0001e08f \U0001e130-\U0001e136 \U0001e2ae "
+    "\U0001e2ec-\U0001e2ef \U0001e4ec-\U0001e4ef"
+).replace(" ", "")
 LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5}
 LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 
@@ -205,6 +228,7 @@ class Tokenizer:
     RARE = regex.compile(f"[{NEWER}{''.join(map(chr, LOWER))}]")
     RARE_WORD = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{NEWER}]]+|[\p{{N}}--[{NEWER}]]|(?:[^\s\p{{L}}\p{{N}}]|[{NEWER}])+")
     ODD = regex.compile("[\x1c-\x1f]")
+    UNKNOWN = regex.compile(f"([{UNKNOWN_MARKS}])")
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -226,7 +250,8 @@ class Tokenizer:
 
     def _plain(self, text: str) -> bytes:
         if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
+            # marks unknown to the library stand between what is normalised
+            text = "".join([unicodedata.normalize("NFC", p) for p in self.UNKNOWN.split(text)])
         # per character: the final-sigma rule of str.lower() isn't wanted
         text = text.lower() if "Σ" not in text else text.replace("Σ", "σ").lower()
         parts = self.SPACE.split(text) if self.ODD.search(text) else text.split()
@@ -294,7 +319,7 @@ def encode_decode(df: DataFrame, spec: str, text: str = "text", keep: tuple[str,
                     names=schema.names,
                 )
 
-    return df.select(*kept, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return df.select(*kept, F.col(text).cast("string").alias(unused(df, "text")[0])).mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, text: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -25,6 +26,8 @@ from veilwork.llm.common import ship
 
 MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": ("<s> ", " </s>"), "system": ("[SYS] ", " [/SYS]")}
 ROLE_OPEN, ROLE_CLOSE = "[ROLE ", " [/ROLE]"
+#: Characters after which a turn's first mark is known.
+LONGEST = 8
 _CONTROL = r"(?=/?(?:INST|SYS)\]|/?ROLE|/?s>)"
 ESCAPE = re.compile(r"([\[<])(\\*)" + _CONTROL)
 UNESCAPE = re.compile(r"([\[<])\\(\\*)" + _CONTROL)
@@ -50,9 +53,10 @@ class ParseError(ValueError):
     pass
 
 
-def parse(formatted: str, at: int = 0) -> Iterator[tuple[str, str, int, int]]:
+def parse(formatted: str, at: int = 0, whole: bool = True) -> Iterator[tuple[str, str, int, int]]:
     """(role, text, start, end) of each turn; start and end bound its text in
-    `formatted`, where it is still escaped."""
+    `formatted`, where it is still escaped. If more text may follow (not
+    `whole`), a turn that has no end yet is left for later."""
     while at < len(formatted):
         for role, (head, tail) in MARKS.items():
             if formatted.startswith(head, at):
@@ -60,11 +64,15 @@ def parse(formatted: str, at: int = 0) -> Iterator[tuple[str, str, int, int]]:
                 break
         else:
             stop = formatted.find("] ", at)
+            if not whole and (stop < 0 or len(formatted) - at < LONGEST):
+                return
             if not formatted.startswith(ROLE_OPEN, at) or stop < 0:
                 raise ParseError(at)
             role, tail, start = unquote(formatted[at + len(ROLE_OPEN) : stop]), ROLE_CLOSE, stop + 2
         end = formatted.find(f"{tail}\n", start)
         if end < 0:
+            if not whole:
+                return
             raise ParseError(at)
         # a mark inside a text is always escaped; one that isn't ends the parse
         inside = formatted[start:end]
@@ -87,23 +95,40 @@ def format_turn(role: str, text: str) -> str:
 
 
 class _Reader:
-    """Reads one conversation's formatted turns back, a chunk at a time."""
+    """Reads one conversation's formatted text back, as a stream that may be
+    cut anywhere: where turns begin and end is for the parser to find."""
 
     def __init__(self):
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.formatted_chars = 0
+        self.waiting, self.held, self.tried = [], 0, 0
 
     def feed(self, formatted: str) -> list[tuple[int, int]]:
         """The spans under the loss mask, in the whole conversation's text."""
-        spans = []
-        for role, text, start, end in parse(formatted):
+        self.waiting.append(formatted)
+        self.held += len(formatted)
+        # a long turn isn't looked through again for every piece
+        if self.held < 2 * self.tried:
+            return []
+        return self._read(False)
+
+    def close(self) -> list[tuple[int, int]]:
+        return self._read(True)
+
+    def _read(self, whole: bool) -> list[tuple[int, int]]:
+        spans, done = [], 0
+        formatted = "".join(self.waiting)
+        for role, text, start, end in parse(formatted, 0, whole):
             self.n_turns += 1
             self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
             if role == "assistant":
                 self.loss.update(text.encode("utf-8", "surrogatepass"))
                 self.loss_chars += len(text)
                 spans.append((self.formatted_chars + start, self.formatted_chars + end))
-        self.formatted_chars += len(formatted)
+            done = end + len(MARKS[role][1] if role in MARKS else ROLE_CLOSE) + 1
+        self.formatted_chars += done
+        self.waiting, self.held = [formatted[done:]], len(formatted) - done
+        self.tried = self.held
         return spans
 
 
@@ -131,9 +156,10 @@ def read_back(turns: DataFrame) -> DataFrame:
 
     Turns come by number, null first; equal numbers by their formatted text;
     repeated rows are turns of their own. A null conversation is one of its
-    own. Each task reads its conversations in order and keeps two running
-    digests and the spans, so a conversation with a third of all turns needs
-    no more memory than its spans do."""
+    own. Each task reads its conversations in order, as one text each, and
+    keeps two running digests, the spans and the turn that is open, so a
+    conversation with a third of all turns needs no more memory than its spans
+    and its longest turn do."""
     ship(turns.sparkSession)
     kind = dict(turns.dtypes)["conv"]
     schema = f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, loss_spans array<struct<start:long,end:long>>"
@@ -154,16 +180,20 @@ def read_back(turns: DataFrame) -> DataFrame:
         key_type = None
         for b in batches:
             key_type = b.schema.field(0).type
-            for key, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            rows = zip(b.column(0).to_pylist(), b.column(2).to_pylist())
+            for key, own in groupby(rows, key=lambda r: r[0]):
                 if reader is None or key != now:
                     if reader:
+                        spans += reader.close()
                         done.append(row())
                     now, reader, spans = key, _Reader(), []
-                spans += reader.feed(text)
+                # the rows' borders go: what follows is one text
+                spans += reader.feed("".join(text for _, text in own))
             if done:
                 yield out(key_type)
                 done = []
         if reader:
+            spans += reader.close()
             done.append(row())
             yield out(key_type)
 

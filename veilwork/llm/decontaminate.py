@@ -32,6 +32,19 @@ def shingles(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return each.select(*keys, F.xxhash64(*names).alias("h"))
 
 
+def short_items(source: DataFrame) -> DataFrame:
+    """(item, k, h): items of fewer than WORDS words, each whole."""
+    w = source.select("item", words_of(F.col("text")).alias("w")).where(F.size("w").between(1, WORDS - 1))
+    return w.select("item", F.size("w").alias("k"), F.xxhash64("w").alias("h")).distinct()
+
+
+def runs(docs: DataFrame, k: int) -> DataFrame:
+    """(doc, th, k, h) of all runs of k words."""
+    w = docs.select("doc", "th", words_of(F.col("text")).alias("w")).where(F.size("w") >= k)
+    at = w.select("doc", "th", "w", F.explode(F.sequence(F.lit(1), F.size("w") - k + 1)).alias("at"))
+    return at.select("doc", "th", F.lit(k).alias("k"), F.xxhash64(F.slice("w", F.col("at"), F.lit(k))).alias("h"))
+
+
 def sketches(items: DataFrame, threshold: float) -> DataFrame:
     """(item, size, h, rank, needed) of the sketches, from distinct rows
     (item, h). needed: so many of the sketch a document must hold."""
@@ -49,8 +62,10 @@ def contamination(df: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text
     containment (share of the item's distinct shingles that the document
     holds), n_shingles (of the item), th (hash of the document's text).
 
-    Items and documents of fewer than five words are never found; null and
-    empty ones likewise. Rows that repeat id and text are one document or
+    An item of fewer than five words is one shingle, found where a document
+    has its words side by side (n_shingles is 1). Null and empty items are never
+    found, null and empty documents hold none; a text of any length is read
+    whole. Of ties there are none: every item has its own row. Rows that repeat id and text are one document or
     item; items with one id are one item with all their shingles. A null id
     is an id like others. Empty tables give an empty one."""
     ws = Workspace(df.sparkSession, "decontaminate")
@@ -74,4 +89,10 @@ def contamination(df: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text
     counted = held.groupBy("doc", "th", "item", "size").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("size") * F.lit(threshold) - 1e-9)
     pair = [counted["doc"].eqNullSafe(found["doc"]), counted["th"] == found["th"], counted["item"] == found["item"]]
     sure = counted.join(found, pair[0] & pair[1] & pair[2], "left_semi")
-    return sure.join(small(ws, ids), "item").select(F.col("doc").alias(doc), F.col("id").alias(item), (F.col("n") / F.col("size")).alias("containment"), F.col("size").cast("long").alias("n_shingles"), "th")
+    out = sure.select("doc", "th", "item", (F.col("n") / F.col("size")).alias("containment"), F.col("size").cast("long").alias("n_shingles"))
+    short = ws.write(short_items(source))
+    # of WORDS - 1 lengths at most those that occur
+    for r in short.select("k").distinct().orderBy("k").collect():
+        hit = runs(docs, r["k"]).join(small(ws, short), ["k", "h"]).select("doc", "th", "item").distinct()
+        out = out.unionByName(hit.select("doc", "th", "item", F.lit(1.0).alias("containment"), F.lit(1).cast("long").alias("n_shingles")))
+    return out.join(small(ws, ids), "item").select(F.col("doc").alias(doc), F.col("id").alias(item), "containment", "n_shingles", "th")

@@ -24,8 +24,9 @@ COSINE = 0.9
 #: Vectors that the upper levels are fitted on, and cells, at most. All
 #: vectors are assigned; the sample only decides how well cells prune.
 SAMPLE, CELLS = 4096, 256
-#: Vectors in a block, about.
-BLOCK = 8192
+#: Vectors in a block, about. Every vector goes to as many pairs of blocks as
+#: aren't pruned, so blocks are large.
+BLOCK = 16384
 #: Radii of the levels in a block. Wider nodes would hold no links of their own
 #: at this threshold (0.447 apart) and reach almost every other node.
 RADII = (0.5, 0.25, 0.125)
@@ -45,6 +46,14 @@ def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
     return x[out]
 
 
+def scaled(raw: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which is exact, so that the largest component
+    lies between 0.5 and 1: squares neither vanish nor overflow."""
+    _, e = np.frexp(np.abs(raw).max(axis=1))
+    out = np.ldexp(raw, -(e // 2)[:, None])
+    return np.ldexp(out, (e // 2 - e)[:, None])
+
+
 def distance(cosines: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * cosines, 0))
 
@@ -181,7 +190,7 @@ def compare_blocks(table: pa.Table, cosine: float = COSINE) -> pa.Table:
     of its component here."""
     side = table["side"].to_numpy()
     node, copies = table["node"].to_numpy(), table["copies"].to_numpy()
-    raw = np.frombuffer(b"".join(table["vec"].to_pylist()), np.float64).reshape(table.num_rows, -1)
+    raw = scaled(np.frombuffer(b"".join(table["vec"].to_pylist()), np.float64).reshape(table.num_rows, -1))
     norm = np.linalg.norm(raw, axis=1)
     unit = (raw / norm[:, None]).astype(np.float32)
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -218,7 +227,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 
     Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing. Vectors of different length aren't compared. Equal
-    vectors are one node with copies, known by a 64-bit hash of it. Rows that
+    vectors are one node with copies, known by a 64-bit hash of it; they are
+    scaled before use, so very small and very large components count as any
+    other. Rows that
     repeat a key are rows; a null key counts for no component. An empty table
     gives an empty one."""
     spark = df.sparkSession
@@ -256,7 +267,7 @@ def _links(nodes: DataFrame, n: int, cosine: float, ws: Workspace) -> DataFrame:
     cells = max(1, min(CELLS, n // BLOCK))
     parts = 1 << 30
     drawn = nodes.where(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(parts)) < int(parts * min(1.0, SAMPLE / n))).select("v").limit(2 * SAMPLE).collect()
-    sample = np.array([r[0] for r in drawn] or [nodes.first()["v"]], dtype=np.float64)
+    sample = scaled(np.array([r[0] for r in drawn] or [nodes.first()["v"]], dtype=np.float64))
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     centres = farthest_first(sample, cells)
     shared = spark.sparkContext.broadcast(centres)
@@ -265,7 +276,8 @@ def _links(nodes: DataFrame, n: int, cosine: float, ws: Workspace) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 raw = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                near = (raw / np.linalg.norm(raw, axis=1, keepdims=True)) @ shared.value.T
+                unit = scaled(raw)
+                near = (unit / np.linalg.norm(unit, axis=1, keepdims=True)) @ shared.value.T
                 cell = near.argmax(axis=1)
                 d = distance(near[np.arange(len(cell)), cell])
                 yield pa.RecordBatch.from_arrays(
@@ -278,7 +290,7 @@ def _links(nodes: DataFrame, n: int, cosine: float, ws: Workspace) -> DataFrame:
     # at most CELLS squared pairs of cells
     link = float(np.sqrt(2 - 2 * cosine)) + 1e-4
     apart = distance(centres @ centres.T)
-    close = [(c, e, pieces[c], pieces[e]) for c in sizes for e in sizes if c <= e and apart[c, e] <= sizes[c][1] + sizes[e][1] + link]
+    close = [(c, e, pieces[c], pieces[e]) for c in sizes for e in sizes if c <= e and not apart[c, e] > sizes[c][1] + sizes[e][1] + link]
     pairs = spark.createDataFrame(close, "c int, e int, nc int, ne int")
     pairs = pairs.select("c", "e", F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("i"), "ne").select("c", "e", "i", F.explode(F.sequence(F.lit(0), F.col("ne") - 1)).alias("j")).where("c < e or i <= j")
     pairs = ws.write(pairs.repartition(max(1, min(len(close), 64))))
@@ -286,7 +298,7 @@ def _links(nodes: DataFrame, n: int, cosine: float, ws: Workspace) -> DataFrame:
     blocks = placed.withColumn("piece", F.pmod(F.xxhash64(F.lit(5), "node"), count.cast("long")).cast("int")).select("node", "copies", "cell", "piece", "vec")
 
     def first_level(table: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(table["vec"].to_pylist()), np.float64).reshape(table.num_rows, -1)
+        raw = scaled(np.frombuffer(b"".join(table["vec"].to_pylist()), np.float64).reshape(table.num_rows, -1))
         unit = (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
         centres, owner = Level.build(unit, np.arange(len(unit)), RADII[0])
         return table.append_column("centre", pa.array(table["node"].to_numpy()[centres[owner]]))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilwork.llm.bpe import slices
-from veilwork.llm.common import ship
+from veilwork.llm.common import ship, unused
 
 #: The model is fitted on about so many labelled rows at most, drawn by a hash of their id.
 TRAIN_ROWS = 10_000
@@ -287,4 +287,4 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
                     names=schema.names,
                 )
 
-    return df.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).cast("string").alias(unused(df, "text")[0])).mapInArrow(run, schema)

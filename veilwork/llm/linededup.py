@@ -1,32 +1,55 @@
 """Fuzzy line deduplication, with DataFrame functions only.
 
-Lines are normalised (lower case, runs of letters and digits with a blank between).
-Candidates share a least hash of pieces of their UTF-8 bytes: of LONG bytes, with
-any of SEEDS masks (a line that changes in places keeps whole pieces between
-them), and of SHORT bytes with any of SEEDS / 2 pairs of masks for lines of few
-bytes. A candidate pair is a link if its edit similarity is at least 0.8; of pairs
-that similar, few aren't candidates (the README gives figures). Of every connected
-group the first occurrence stays."""
+Lines are normalised (lower case, runs of letters and digits with a blank between)
+and get SimHash signatures in blocks. The features of a line are its words of LEAST
+bytes or more, or, for short lines and those of uncommon words, all pieces of PIECE
+bytes. Hash bits of a feature put it into one of 2^s classes, so many that a class
+has a few features; block c of the signature is the SimHash of class c, with
+the number and bytes of its features. An
+edit changes the class of what it takes and that of what it brings, so of two lines
+with few edits some blocks are equal (pigeonhole principle): lines that share a
+block are candidates. Lines with few classes get several tables of other hash bits,
+long ones the first BLOCKS classes only. Candidates whose SimHash as a whole differs
+in few bits are verified: a pair is a link if its edit similarity is at least 0.8; of pairs that similar, few aren't candidates (the README
+gives figures). Of every connected group the first occurrence stays."""
 
 from __future__ import annotations
 
-import hashlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.common import Workspace, components, small
-from veilwork.llm.linkage import candidates, link
+from veilwork.llm.common import Workspace, components, small, unused
+from veilwork.llm.linkage import link, members_of
 
 SIMILARITY = 0.8
-#: Bytes of a piece, and the sizes of lines in bytes between which both kinds are
-#: taken: two lines of similarity 0.8 that lie on different sides share one kind.
-LONG, SHORT, BOTH = 16, 5, (48, 64)
-SEEDS = 24
-
-
-def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
+#: Words up to which the order of common words is looked at before the distance.
+ORDERED = 400
+#: Bytes of a feature: words have LEAST or more, pieces PIECE.
+LEAST, PIECE = 4, 5
+#: Lines of fewer bytes have pieces for features, those of the second number or more
+#: words; in between they have both. Lines whose words have fewer bytes than the
+#: third number on average, or more than the fourth, have pieces too.
+SHORT, LONG, FEWEST, MOST = 128, 32, 3.5, 14.0
+#: A line of L bytes has about L / 8.5 long words, and L pieces: 2^s classes of 2.5 to
+#: 5 words or 3.6 to 7 pieces are as many as L over these numbers. Lines that are up to
+#: 0.85 as long share a scale s.
+OF, NEAR = (21.0, 3.6), 0.85
+#: Lines from so many bytes on count as no longer than so many bytes for each
+#: distinct word or piece.
+REPEATS, OWN = 700, (8.0, 2.0)
+#: By words, by pieces and by pieces of lines with uncommon words: blocks of a table
+#: at most, tables of the first scales (the last number for all after), and the bytes
+#: of features that a block needs.
+BLOCKS, TABLES, FULL = (7, 10, 12), ((4, 2, 1), (12, 4, 2, 1), (12, 6, 4)), (20, 15, 15)
+#: Lines of similarity 0.8 differ in some 13 of 63 bits of their SimHash, seldom in
+#: more than these; unrelated ones in about 28.
+FAR = 22
+#: Bit counts are kept in SUMS numbers of seven lanes of 8 bits.
+SUMS = 5
+_BYTES = 0x0001010101010101
+_TOPS = 0x0080808080808080
 
 
 def documents(df: DataFrame, doc: str, text: str) -> DataFrame:
@@ -38,49 +61,127 @@ def documents(df: DataFrame, doc: str, text: str) -> DataFrame:
 def occurrences(docs: DataFrame) -> DataFrame:
     """One row per line with a letter or digit: doc, th, line, h (hash of the
     normalised line), norm."""
-    lines = docs.select("doc", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-    # a generator's output is computed once; a projection's would be for each use
-    lines = lines.select("doc", "th", "line", F.inline(F.array(F.struct(words_of(F.col("raw")).alias("words"))))).where(F.size("words") > 0)
-    return lines.select("doc", "th", "line", F.xxhash64("words").alias("h"), F.array_join("words", " ").alias("norm"))
-
-
-def buckets(occ: DataFrame) -> DataFrame:
-    """Rows (node, keys): the keys of every line. Equal lines have equal
-    pieces, so the least hashes are taken of all of them at once."""
-    line = occ.select("h", F.concat(F.lit(" "), "norm", F.lit(" ")).cast("binary").alias("b")).withColumn("n", F.length("b"))
-    masks = [int.from_bytes(hashlib.sha256(b"%d" % k).digest()[:8], "big", signed=True) for k in range(SEEDS)]
-
-    def least(rows: DataFrame, size: int) -> DataFrame:
-        at = rows.select("h", "b", F.explode(F.sequence(F.lit(1), F.greatest(F.col("n") - size + 1, F.lit(1)))).alias("at"))
-        x = at.select("h", F.xxhash64(F.expr(f"substring(b, at, {size})")).alias("x"))
-        return x.groupBy("h").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks)])
-
-    m = [F.col(f"m{k}") for k in range(SEEDS)]
-    one = F.array(*[F.xxhash64(F.lit(k), c) for k, c in enumerate(m)])
-    two = F.array(*[F.xxhash64(F.lit(SEEDS + k), m[2 * k], m[2 * k + 1]) for k in range(SEEDS // 2)])
-    long = least(line.where(F.col("n") >= BOTH[0]), LONG).select(F.col("h").alias("node"), one.alias("keys"))
-    return long.unionAll(least(line.where(F.col("n") < BOTH[1]), SHORT).select(F.col("h").alias("node"), two.alias("keys")))
+    norm = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " ")
+    lines = docs.select("doc", "th", F.posexplode(F.split(norm, "\n", -1)).alias("line", "raw"))
+    lines = lines.select("doc", "th", "line", _once(norm=F.trim("raw"))).where("norm <> ''")
+    return lines.select("doc", "th", "line", F.xxhash64("norm").alias("h"), "norm")
+
+
+def _once(**cols: Column) -> Column:
+    """A generator's output is computed once; a projection's would be for each use."""
+    return F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()])))
+
+
+def _simhash(n: Column) -> Column:
+    """From lanes s0, s1, ... the bits set in more than half of n features, up
+    to 127 of them; of more the bits are still the same for the same features.
+    A lane and what it lacks to 128 from more than half of n make its top bit."""
+    least = (F.lit(127) - F.floor(F.least(n, F.lit(127)) / 2)) * F.lit(_BYTES)
+    each = [F.shiftrightunsigned((F.col(f"s{i}") + least).bitwiseAND(F.lit(_TOPS)), 7 - i) for i in range(SUMS)]
+    return reduce(lambda a, b: a.bitwiseOR(b), each)
+
+
+def _tables(kind: int) -> Column:
+    """By 2 s + (1 if the scale before is taken too): codes 32 s + t of the
+    tables t of the scales."""
+    of = lambda s: [32 * s + t for t in range(TABLES[kind][min(s, len(TABLES[kind])) - 1])] if s else []
+    return F.lit([of(s) + (of(s - 1) if more else []) for s in range(32) for more in (0, 1)])
+
+
+def blocks(lines: DataFrame) -> DataFrame:
+    """From distinct lines (h, norm) rows (node, key): the signature's blocks."""
+    x = lines.select("h", "norm", F.octet_length("norm").alias("size"), _once(words=F.split("norm", " ")))
+    mean = F.col("size") / F.size("words") - 1
+    kinds = F.when(~mean.between(FEWEST, MOST), F.lit([2])).when(F.col("size") < LONG, F.lit([1])).when(F.col("size") < SHORT, F.lit([0, 1])).otherwise(F.lit([0]))
+    x = x.select("h", "norm", "size", "words", F.explode(kinds).alias("kind"))
+    is_word = F.col("kind") == 0
+    padded = F.array(F.concat(F.lit(" "), "norm", F.lit(" ")).cast("binary"))
+    pieces = F.flatten(F.transform(padded, lambda b: F.transform(F.sequence(F.lit(1), F.greatest(F.length(b) + 1 - PIECE, F.lit(1))), lambda i: F.substring(b, i, F.lit(PIECE)).cast("string"))))
+    x = x.select("h", "kind", "size", _once(features=F.when(is_word, F.col("words")).otherwise(pieces)))
+    # long lines whose features come again and again have fewer than their bytes tell
+    own = F.size(F.array_distinct("features")) * F.when(is_word, OWN[0]).otherwise(OWN[1])
+    x = x.select("h", "kind", "features", _once(size=F.when(F.col("size") >= REPEATS, F.least(F.col("size").cast("double"), own)).otherwise(F.col("size").cast("double"))))
+    scale = lambda share: F.greatest(F.lit(1), F.floor(F.log2(F.col("size") * share / F.when(is_word, OF[0]).otherwise(OF[1]))).cast("int"))
+    x = x.select("h", "kind", "features", _once(s=scale(1.0), low=scale(NEAR)))
+    at = F.col("s") * 2 + (F.col("low") < F.col("s")).cast("int")
+    x = x.select("h", "kind", "low", F.when(is_word, F.get(_tables(0), at)).when(F.col("kind") == 1, F.get(_tables(1), at)).otherwise(F.get(_tables(2), at)).alias("codes"), "features")
+    x = x.select("h", "kind", "low", "codes", "features", F.posexplode("features").alias("at", "f")).withColumn("n", F.octet_length("f")).where(~is_word | (F.col("n") >= LEAST)).withColumn("x", F.xxhash64("f"))
+    most = F.when(is_word, BLOCKS[0]).when(F.col("kind") == 1, BLOCKS[1]).otherwise(BLOCKS[2])
+    # what has no block at the lower scale has none at the other; a feature counts once
+    x = x.where((F.col("x").bitwiseAND(F.expr("shiftleft(1L, low) - 1")) < most) & (F.array_position("features", F.col("f")) == F.col("at") + 1))
+    x = x.select("h", "kind", "n", "x", F.explode("codes").alias("code"))
+    part = F.expr("shiftrightunsigned(x, (code & 31) * (code div 32)) & (shiftleft(1L, code div 32) - 1)")
+    x = x.withColumn("class", part.cast("int")).where(F.col("class") < most)
+    x = x.select("h", F.expr("(kind * 1024 + code) * 16 + class").alias("g"), "n", "x")
+    lanes = [F.sum(F.shiftrightunsigned("x", i).bitwiseAND(F.lit(_BYTES))).alias(f"s{i}") for i in range(SUMS)]
+    # the features' bytes and, above them, their number
+    summed = x.groupBy("h", "g").agg(*lanes, F.sum(F.col("n") + F.lit(1 << 32)).alias("n"))
+    full = F.when(F.col("g") >= 16 * 1024, FULL[1]).otherwise(FULL[0])
+    summed = summed.where(F.col("n").bitwiseAND(F.lit((1 << 32) - 1)) >= full)
+    return summed.select(F.col("h").alias("node"), F.xxhash64("g", "n", _simhash(F.shiftright("n", 32))).alias("key"))
+
+
+def signs(texts: DataFrame) -> DataFrame:
+    """(node, sign): of lines (node, n) the SimHash as a whole (63 bits): of
+    the distinct words of LEAST bytes, or, for short lines and those of uncommon
+    words, of pieces of three bytes, which the sign bit tells. Null if there is
+    no feature, or more than a lane can count."""
+    x = texts.select("node", "n", F.octet_length("n").alias("size"), _once(words=F.split("n", " ")))
+    mean = F.col("size") / F.size("words") - 1
+    is_word = (F.col("size") >= SHORT) & mean.between(FEWEST, MOST)
+    padded = F.array(F.concat(F.lit(" "), "n", F.lit(" ")).cast("binary"))
+    pieces = F.flatten(F.transform(padded, lambda b: F.transform(F.sequence(F.lit(1), F.greatest(F.length(b) - 2, F.lit(1))), lambda i: F.substring(b, i, F.lit(3)).cast("string"))))
+    x = x.select("node", is_word.alias("w"), F.explode(F.array_distinct(F.when(is_word, F.col("words")).otherwise(pieces))).alias("f"))
+    x = x.where(~F.col("w") | (F.octet_length("f") >= LEAST)).select("node", "w", F.xxhash64("f").alias("x"))
+    lane, top = 0x000100010001, 0x800080008000
+    sums = [F.sum(F.shiftrightunsigned("x", i).bitwiseAND(F.lit(lane))).alias(f"s{i}") for i in range(21)]
+    summed = x.groupBy("node", "w").agg(*sums, F.count("*").alias("k"))
+    least = (F.lit(32767) - F.floor(F.least("k", F.lit(32767)) / 2)) * F.lit(lane)
+    # bits of the first sixteen sums have places of their own; the others go between lanes 48 and 63
+    parts = [F.shiftrightunsigned((F.col(f"s{i}") + least).bitwiseAND(F.lit(top)), 15 - i) for i in range(16)]
+    rest = [F.shiftright((F.col(f"s{i}") + least).bitwiseAND(F.lit(top)), 15 + 16 * j).bitwiseAND(F.lit(1)) * F.lit(1 << (48 + (i - 16) * 3 + j)) for i in range(16, 21) for j in range(3)]
+    sign = reduce(lambda a, b: a.bitwiseOR(b), [*parts, *rest])
+    return summed.select("node", F.when(F.col("k") <= 32767, F.when(F.col("w"), sign).otherwise(sign.bitwiseOR(F.lit(-(1 << 63))))).alias("sign"))
+
+
+def near_signs(a: Column, b: Column) -> Column:
+    """Whether two lines can be similar: FAR bits at most differ. Nothing is
+    known of a null, nor of two of different features."""
+    x = a.bitwiseXOR(b)
+    return F.coalesce((x < 0) | (F.bit_count(x) <= FAR), F.lit(True))
 
 
 def similar(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Of rows (a, b, wa, wb: the lines' words) the pairs (a, b) whose edit
-    similarity reaches the threshold. Words that both lines begin or end with
-    don't count for the distance; it is taken of what is between, where it is
-    often no more than that is long."""
-    once = lambda *cols: F.inline(F.array(F.struct(*cols)))
+    """Of rows (a, b, na, nb: the normalised lines) the pairs (a, b) whose edit
+    similarity reaches the threshold. What both lines begin or end with doesn't
+    count for the distance. Words that differ place by place bound it from
+    above, and so does what lies between long words of both, if these stand in
+    one order; where that doesn't settle a pair, it is computed."""
 
     def common(x: Column, y: Column) -> Column:
         at = F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False)
         return F.when(at == 0, F.greatest(F.size(x), F.size(y))).otherwise(at - 1).cast("int")
 
-    length = lambda c: F.length(F.array_join(c, " "))
-    most = F.floor(F.greatest(length("wa"), length("wb")) * (1 - threshold) + 1e-9).cast("int")
-    x = pairs.select("a", "b", "wa", "wb", once(most.alias("most"), common(F.col("wa"), F.col("wb")).alias("head"), common(F.reverse("wa"), F.reverse("wb")).alias("tail")))
+    most = F.floor(F.greatest(F.length("na"), F.length("nb")) * (1 - threshold) + 1e-9).cast("int")
+    x = pairs.select("a", "b", most.alias("most"), _once(wa=F.split("na", " "), wb=F.split("nb", " ")))
+    x = x.select("a", "b", "most", "wa", "wb", _once(head=common(F.col("wa"), F.col("wb")), tail=common(F.reverse("wa"), F.reverse("wb"))))
     x = x.withColumn("tail", F.least("tail", F.least(F.size("wa"), F.size("wb")) - F.col("head")))
+    middle = lambda w: F.slice(w, F.col("head") + 1, F.greatest(F.size(w) - F.col("head") - F.col("tail"), F.lit(0)))
+    x = x.select("a", "b", "most", _once(wa=middle(F.col("wa")), wb=middle(F.col("wb"))))
     # every word with a blank after it: then what goes are whole pieces
-    middle = lambda w: F.array_join(F.transform(F.slice(w, F.col("head") + 1, F.greatest(F.size(w) - F.col("head") - F.col("tail"), F.lit(0))), lambda v: F.concat(v, F.lit(" "))), "")
-    x = x.select("a", "b", "most", once(middle("wa").alias("ma"), middle("wb").alias("mb")))
-    return x.where("abs(length(ma) - length(mb)) <= most and (greatest(length(ma), length(mb)) <= most or levenshtein(ma, mb, most) >= 0)").select("a", "b")
+    text = lambda w: F.array_join(F.transform(w, lambda v: F.concat(v, F.lit(" "))), "")
+    by_place = F.aggregate(F.zip_with("wa", "wb", lambda p, q: F.when(p == q, 0).otherwise(F.greatest(F.length(p), F.length(q)))), F.lit(0), lambda s, v: s + v)
+    # long words of both, if they stand in one order: what is between them costs no more than its longer side
+    mark = "\x01"
+    kept = lambda w, v: (F.length(w) >= LEAST) & F.array_contains(v, w)
+    order = lambda u, v: F.filter(u, lambda w: kept(w, v))
+    gaps = lambda u, v: F.split(F.array_join(F.transform(u, lambda w: F.when(kept(w, v), mark).otherwise(F.concat(w, F.lit(" ")))), ""), mark, -1)
+    between = F.aggregate(F.zip_with(gaps(F.col("wa"), F.col("wb")), gaps(F.col("wb"), F.col("wa")), lambda p, q: F.greatest(F.length(p), F.length(q))), F.lit(0), lambda s, v: s + v)
+    by_order = F.when(order(F.col("wa"), F.col("wb")) == order(F.col("wb"), F.col("wa")), between)
+    most_ = F.lit(2**31 - 1)
+    above = F.when((F.size("wa") == F.size("wb")) & (by_place <= F.col("most")), by_place).otherwise(F.when(F.greatest(F.size("wa"), F.size("wb")) <= ORDERED, F.coalesce(by_order, most_)).otherwise(most_))
+    x = x.select("a", "b", "most", _once(ma=text(F.col("wa")), mb=text(F.col("wb")), above=above))
+    return x.where("above <= most or (abs(length(ma) - length(mb)) <= most and (greatest(length(ma), length(mb)) <= most or levenshtein(ma, mb, most) >= 0))").select("a", "b")
 
 
 def removed_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = SIMILARITY, ws: Workspace | None = None) -> DataFrame:
@@ -88,16 +189,22 @@ def removed_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", thresh
     documents that have such lines."""
     ws = ws or Workspace(df.sparkSession, "lines")
     docs = documents(df, doc, text)
-    occ = ws.write(occurrences(docs))
-    pairs, members = candidates(ws.write(buckets(occ)).select("node", F.explode("keys").alias("key")), ws)
-    wanted = ws.write(pairs.selectExpr("stack(2, a, b) as h").union(members.select(F.col("node").alias("h"))).distinct())
-    texts = ws.write(occ.join(small(ws, wanted), "h", "left_semi").groupBy(F.col("h").alias("node")).agg(F.split(F.min("norm"), " ").alias("w")))
+    occ = ws.write(occurrences(docs), compression="zstd")
+    lines = occ.groupBy("h").agg(F.min("norm").alias("norm"))
+    keys = ws.write(blocks(lines))
+    ws.tidy()
+    members = members_of(keys, ws)
+    ws.drop(keys)
+    ws.tidy()
+    wanted = ws.write(members.select(F.col("node").alias("h")).distinct())
+    texts = ws.write(occ.join(small(ws, wanted), "h", "left_semi").groupBy(F.col("h").alias("node")).agg(F.min("norm").alias("n")))
 
     def verify(todo: DataFrame) -> DataFrame:
-        wa, wb = texts.select(F.col("node").alias("a"), F.col("w").alias("wa")), texts.select(F.col("node").alias("b"), F.col("w").alias("wb"))
-        return similar(todo.join(wa, "a").join(wb, "b"), threshold).distinct()
+        a, b = texts.select(F.col("node").alias("a"), F.col("n").alias("na")), texts.select(F.col("node").alias("b"), F.col("n").alias("nb"))
+        return similar(todo.join(a, "a").join(b, "b"), threshold).distinct()
 
-    comp = ws.write(components(link(pairs, members, verify, ws), ws))
+    signed = ws.write(members.join(ws.write(signs(texts)), "node", "left").select("key", "node", "sign"))
+    comp = ws.write(components(link(signed, verify, ws, near_signs), ws))
     again = occ.groupBy(F.col("h").alias("node")).agg(F.count("*").alias("n")).where("n > 1").select("node")
     classes = ws.write(again.join(comp, "node", "full_outer").select(F.col("node").alias("h"), F.coalesce("root", "node").alias("root")))
     of_class = ws.write(occ.join(small(ws, classes), "h").select("root", "doc", "th", "line"))
@@ -109,20 +216,22 @@ def removed_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", thresh
 
 def dedup_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """All rows and columns of df, text without the removed lines, and
-    n_lines, n_removed (long).
+    n_lines, n_removed (long; columns of these names in df give way).
 
     A group's first occurrence is that with the least id, then line (a null
-    id comes last). Lines without a letter or digit stay. A null text
+    id comes last). Lines without a letter or digit stay. Lines of any length
+    are compared whole: the edit distance of two long lines that are alike
+    takes time by the square of what differs. A null text
     stays null and has no lines; an empty one has one. Rows that repeat id and
-    text are one document: they lose the same lines. An empty table gives an
-    empty one."""
+    text are one document: they lose the same lines. Equal lines are known by
+    their 64-bit hash. An empty table gives an empty one."""
     ws = Workspace(df.sparkSession, "lines")
-    out = small(ws, removed_lines(df, doc, text, threshold, ws)).withColumnsRenamed({"doc": "_doc", "th": "_th", "removed": "_removed"})
+    d, th, removed = unused(df, "doc", "th", "removed")
+    out = small(ws, removed_lines(df, doc, text, threshold, ws)).withColumnsRenamed({"doc": d, "th": th, "removed": removed})
     t = F.col(text).cast("string")
-    same = F.col(doc).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(t) == F.col("_th"))
-    lines = F.split(t, "\n", -1)
-    left = F.filter(lines, lambda x, i: ~F.array_contains("_removed", i))
-    new = F.when(F.col("_removed").isNull(), t).otherwise(F.array_join(left, "\n"))
-    joined = df.join(out, same, "left")
-    n_lines = F.coalesce(F.size(lines), F.lit(0))
-    return joined.select(*[F.col(c) for c in df.columns if c != text], new.alias(text), F.when(t.isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"))
+    same = F.col(doc).cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(t) == F.col(th))
+    left = F.filter(F.split(t, "\n", -1), lambda x, i: ~F.array_contains(removed, i))
+    new = F.when(F.col(removed).isNull(), t).otherwise(F.array_join(left, "\n"))
+    n_lines = F.octet_length(t) - F.octet_length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
+    kept = [F.col(c) for c in df.columns if c not in (text, "n_lines", "n_removed")]
+    return df.join(out, same, "left").select(*kept, new.alias(text), F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(removed), F.lit(0)).cast("long").alias("n_removed"))

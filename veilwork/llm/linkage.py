@@ -4,46 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.llm.common import Workspace, components, small
 
 #: Pairs that may be left for a full comparison, per row of the buckets.
-REST = 4
+REST = 16
 #: Fewer pairs than these aren't worth another round.
 FEW = 100_000
 
 
-def candidates(buckets: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """From distinct rows (key, node): the pairs (a, b) of buckets with two
-    members, and the rows of buckets with more. Other buckets go."""
-    keys = ws.write(buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).where("n > 1"))
-    more = ws.write(keys.where("n > 2").select("key"))
-    members = ws.write(buckets.join(small(ws, more), "key", "left_semi").select("key", "node"))
-    return keys.where("n = 2").select("a", "b"), members
+def members_of(buckets: DataFrame, ws: Workspace) -> DataFrame:
+    """Of distinct rows (key, node) those of keys with two nodes or more."""
+    keys = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    return ws.write(buckets.join(small(ws, ws.write(keys.where("a <> b").select("key"))), "key", "left_semi").select("key", "node"))
 
 
-def link(pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame], ws: Workspace) -> DataFrame:
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ws: Workspace, may: Callable[[Column, Column], Column] = lambda a, b: F.lit(True)) -> DataFrame:
     """Edges (a, b) such that their connected components are those of all
-    verified pairs that share a bucket.
+    verified pairs that share a bucket. The members (key, node, sign) have two
+    nodes or more in each bucket; `may` tells of two signs whether the pair can
+    be a link, so that others never get to the verification.
 
-    Every round takes pivots in each bucket, twice as many as the round
-    before, and verifies them with the members of other components; then they
-    have met all others and leave the bucket. In a bucket of near copies most members join the
-    pivot's component at once, so the rounds touch each row a few times,
-    however large the bucket is. When few pairs are left untested, they are
-    compared in one step: those outside their bucket's largest component with
-    all others."""
-    first = members.groupBy("key").agg(F.min("node").alias("pivot"))
-    star = members.join(first, "key").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    edges = ws.write(verify(ws.write(pairs.union(star).distinct())))
-    left = ws.write(members.join(first, (members["key"] == first["key"]) & (members["node"] == first["pivot"]), "left_anti"))
+    First each node is verified with the least node of its largest bucket
+    only: near copies share many buckets, and one link is enough. The same for
+    one node of each component that a bucket still holds. Then every
+    round takes pivots in each bucket that lies in two components or more,
+    twice as many as the round before, and verifies them with the members of
+    other components; then they have met all others and leave the bucket. In a
+    bucket of near copies most members join the pivot's component at once, so
+    the rounds touch each row a few times, however large the bucket is. When few
+    pairs are left untested, they are compared in one step: those outside their
+    bucket's largest component with all others."""
+    first = ws.write(members.groupBy("key").agg(F.min(F.struct("node", "sign")).alias("pivot"), F.count("*").alias("n")))
+    home = members.join(first, "key").groupBy("node").agg(F.max(F.struct("n", "key", "sign", "pivot")).alias("home"))
+    star = home.where(may(F.col("home.sign"), F.col("home.pivot.sign"))).select(F.least("node", "home.pivot.node").alias("a"), F.greatest("node", "home.pivot.node").alias("b"))
+    edges, left = ws.write(verify(ws.write(star.where("a <> b").distinct()))), members
+    # then one of each component with one of the bucket's largest
+    comp = ws.write(components(edges, ws))
+    labelled = members.join(small(ws, comp), "node", "left").select("key", "node", "sign", F.coalesce("root", "node").alias("label"))
+    one = ws.write(labelled.groupBy("key", "label").agg(F.count("*").alias("n"), F.min(F.struct("node", "sign")).alias("one")))
+    main = one.groupBy("key").agg(F.max(F.struct("n", "label", "one")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    apart = one.join(main, "key").where(F.col("label") != F.col("main.label")).where(may(F.col("one.sign"), F.col("main.one.sign")))
+    some = apart.select(F.least("one.node", "main.one.node").alias("a"), F.greatest("one.node", "main.one.node").alias("b")).distinct()
+    edges = ws.write(edges.union(verify(ws.write(some))))
     step = 0
     while True:
         step += 1
         comp = ws.write(components(edges, ws))
-        labelled = ws.write(left.join(small(ws, comp), "node", "left").select("key", "node", F.coalesce("root", "node").alias("label")))
+        labelled = ws.write(left.join(small(ws, comp), "node", "left").select("key", "node", "sign", F.coalesce("root", "node").alias("label")))
         per_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
         mixed = ws.write(
             per_label.groupBy("key")
@@ -56,16 +66,16 @@ def link(pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame], Dat
             return edges
         here = labelled.join(small(ws, mixed), "key")
         if cost["cross"] <= max(REST * cost["rows"], FEW):
-            x = here.where("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-            y = labelled.select("key", F.col("node").alias("y"), F.col("label").alias("ly"))
-            todo = x.join(y, "key").where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            x = here.where("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("sign").alias("sx"))
+            y = labelled.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("sign").alias("sy"))
+            todo = x.join(y, "key").where((F.col("lx") != F.col("ly")) & may(F.col("sx"), F.col("sy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
             return ws.write(edges.union(verify(ws.write(todo))))
         best = here.where("label <> main").groupBy("key").agg(F.max(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node")).alias("best"))
         drawn = F.pmod(F.xxhash64("node", F.lit(step)), F.col("minor")) < F.lit(1 << min(step, 40))
         chosen = (F.col("label") != F.col("main")) & (drawn | (F.col("node") == F.col("best.node")))
-        marked = ws.write(here.join(small(ws, ws.write(best)), "key").select("key", "node", "label", chosen.alias("pivot")))
-        x = marked.where("pivot").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-        y = marked.select("key", F.col("node").alias("y"), F.col("label").alias("ly"))
-        todo = x.join(y, "key").where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        marked = ws.write(here.join(small(ws, ws.write(best)), "key").select("key", "node", "sign", "label", chosen.alias("pivot")))
+        x = marked.where("pivot").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("sign").alias("sx"))
+        y = marked.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("sign").alias("sy"))
+        todo = x.join(y, "key").where((F.col("lx") != F.col("ly")) & may(F.col("sx"), F.col("sy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         edges = ws.write(edges.union(verify(ws.write(todo))))
-        left = ws.write(marked.where("not pivot").select("key", "node"))
+        left = ws.write(marked.where("not pivot").select("key", "node", "sign"))

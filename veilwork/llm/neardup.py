@@ -30,8 +30,8 @@ LEAST_EQUAL = 17
 #: Buckets of more members are compared in blocks, not as pairs; a block has
 #: about so many members, and texts of about so many bytes.
 FEW, BLOCK, BLOCK_BYTES = 16, 1024, 8 << 20
-#: Words whose hash a worker remembers, in each of two generations.
-CACHE = 50_000
+#: Bytes of words whose hash a worker remembers, in each of two generations.
+CACHE = 12 << 20
 
 _U = np.uint64
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)

@@ -12,7 +12,8 @@ def _grams(table: str, key: str) -> str:
 
 
 OP4 = f"""WITH d AS ({_grams('documents', 'doc_id')}), b AS ({_grams('benchmark', 'item_id')}), n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
-SELECT doc_id, b.item_id, count(*) / any_value(n_shingles) AS containment, any_value(n_shingles) AS n_shingles FROM d JOIN b USING (g) JOIN n ON n.item_id = b.item_id GROUP BY doc_id, b.item_id HAVING count(*) >= 0.8 * any_value(n_shingles) - 1e-9"""
+SELECT doc_id, b.item_id, count(*) / any_value(n_shingles) AS containment, any_value(n_shingles) AS n_shingles FROM d JOIN b USING (g) JOIN n ON n.item_id = b.item_id GROUP BY doc_id, b.item_id HAVING count(*) >= 0.8 * any_value(n_shingles) - 1e-9
+UNION ALL SELECT DISTINCT doc_id, item_id, 1.0, 1 FROM (SELECT doc_id, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS d FROM documents) JOIN (SELECT item_id, ' ' || array_to_string(ws, ' ') || ' ' AS i FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) BETWEEN 1 AND 4) ON contains(d, i)"""
 
 _CONTROL = r"[\[<]\\*(?:/?(?:INST|SYS)\]|/?ROLE|/?s>)"
 OP8 = f"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
@@ -40,10 +41,10 @@ _RE = [secrets.ASSIGN.pattern, r"AKIA[A-Z0-9]+", r"[0-9a-f]+", r"[A-Za-z0-9_-]+"
 OP2 = f"""WITH base AS ({_found(0, '(?i)' + _RE[0], 'v', 'length(v) >= 6')} UNION ALL {_found(1, _RE[1], 'm', 'length(m) >= 20')} UNION ALL {_found(2, _RE[2], 'm', 'length(m) >= 24')}),
 more AS ({_found(3, _RE[3], 'm', "length(m) >= 20 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')")}),
 al AS (SELECT * FROM base UNION ALL SELECT * FROM more m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = m.doc_id AND b.start < m.stop AND m.start < b.stop)),
-own AS (SELECT value, count(DISTINCT source) AS owners FROM al GROUP BY value),
-j AS (SELECT a.*, CASE WHEN owners >= 3 THEN 'example' WHEN owners <= 1 AND list_aggregate(string_split(a.value, ''), 'entropy') >= 3.0 THEN 'live' ELSE 'unclear' END AS verdict, ['assign', 'access', 'hex', 'token'][kind + 1] || ':' || start || ':' || stop AS span FROM al a JOIN own o ON a.value = o.value),
+own AS (SELECT value, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repos FROM al GROUP BY value),
+j AS (SELECT a.*, repos, CASE WHEN owners >= 3 OR owners = 2 AND repos >= 5 THEN 'example' WHEN owners <= 1 AND repos <= 20 AND list_aggregate(string_split(a.value, ''), 'entropy') >= 3.0 THEN 'live' ELSE 'unclear' END AS verdict, ['assign', 'access', 'hex', 'token'][kind + 1] || ':' || start || ':' || stop AS span FROM al a JOIN own o ON a.value = o.value),
 k AS (SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS h, string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3 OR verdict = 'live') AS spans,
- count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example' AND kind < 3) AS n_example FROM j GROUP BY doc_id)
-SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id"""
+ max(repos) FILTER (kind < 3 OR verdict = 'live') AS most, count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example' AND kind < 3) AS n_example FROM j GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(most, 0) AS most_repos FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id"""
 
 SQL = {"op2_secrets": OP2, "op4_decontamination": OP4, "op8_chat": OP8, "op10_embeddings": OP10}

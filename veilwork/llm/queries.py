@@ -27,7 +27,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_live", "n_example")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_live", "n_example", F.coalesce(F.array_max(F.transform("secrets", lambda s: s["n_repos"])), F.lit(0)).cast("long").alias("most_repos"))
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # the tables are invented, so the key need not be secret here
+    return pii.replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"), key=spark.conf.get("spark.veilwork.surrogate.key", "key of the invented tables"))
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 Pass 1 finds candidates in every text: the base kinds (assign, access, hex)
 and, besides, free-standing tokens with mixed characters. Pass 2 counts for
 every candidate's hash the distinct repositories and owners that hold it. A
-value that many owners hold is a copied example; one with a single owner that
-looks random is live-looking. Base spans always stay; a free-standing token
+value that many owners hold, or two owners in many repositories, is a copied
+example; one with a single owner, in few repositories, that looks random is
+live-looking. Base spans always stay; a free-standing token
 becomes a span only if it is owner-specific and live-looking."""
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilwork.llm.bpe import slices
-from veilwork.llm.common import Workspace, ship, small
+from veilwork.llm.common import Workspace, ship, small, unused
 
 #: Kinds in the order of the output; the first three are the base.
 KINDS = ("assign", "access", "hex", "token")
@@ -32,8 +33,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9_-]{20,}")
-#: A value in the hands of so many owners is an example.
-EXAMPLE_OWNERS = 3
+#: A value in the hands of so many owners is an example, and so is one of two
+#: owners in so many repositories. One that a single owner has in more than the
+#: third number of repositories is no live credential for sure.
+EXAMPLE_OWNERS, EXAMPLE_REPOS, LIVE_REPOS = 3, 5, 20
 #: Bits per character from which a value looks random.
 LIVE_ENTROPY = 3.0
 
@@ -103,7 +106,7 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *(pa.array(c, t) for c, t in zip(cols, [*types, spans]))], names=schema.names)
 
-    return df.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).cast("string").alias(unused(df, "text")[0])).mapInArrow(run, schema)
 
 
 def owners(spans: DataFrame, repository: str, owner: str) -> DataFrame:
@@ -123,16 +126,17 @@ def scan_secrets(df: DataFrame, doc: str = "doc_id", text: str = "text", owner:
     verdict, n_repos, n_owners).
 
     A document is a repository of its owner. Null or empty texts hold no
-    secrets; a null owner or document counts for none. Repeated rows are
-    scanned each and count once. An empty table gives an empty one."""
+    secrets; a null owner or document counts for none. Texts of any length are
+    searched whole. Spans with one start come in the order of KINDS. Repeated
+    rows are scanned each and count once. An empty table gives an empty one."""
     ws = Workspace(df.sparkSession, "secrets")
     src = df.select(F.col(doc).alias("doc"), F.col(owner).cast("string").alias("owner"), F.col(text).alias("text"))
     docs = ws.write(scan(src, "text", ("doc", "owner")).withColumn("row", F.expr("uuid()")))
     spans = docs.where("size(found) > 0").select("row", "doc", "owner", F.explode("found").alias("s")).select("row", "doc", "owner", "s.*")
     held = ws.write(owners(spans, "doc", "owner"))
     verdict: Column = (
-        F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example")
-        .when(F.col("random") & (F.col("n_owners") <= 1), "live")
+        F.when((F.col("n_owners") >= EXAMPLE_OWNERS) | ((F.col("n_owners") == EXAMPLE_OWNERS - 1) & (F.col("n_repos") >= EXAMPLE_REPOS)), "example")
+        .when(F.col("random") & (F.col("n_owners") <= 1) & (F.col("n_repos") <= LIVE_REPOS), "live")
         .otherwise("unclear")
     )
     # AQE splits the partition of a hash that fills the corpus
