@@ -20,9 +20,20 @@ PUNCTUATION_END = r"[.,;:!?]+$"
 WHITE = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 
+def run(inside: str) -> str:
+    """Pattern of a whole run of a class. Where a run must be followed by
+    something, a pattern that may begin within it takes the square of the run's
+    length to fail."""
+    return f"(?<![{inside}])[{inside}]++"
+
+
+#: CONTACT_VALUE from the beginning of an address's first part.
+CONTACT_FOUND = CONTACT_VALUE.replace("[A-Za-z0-9._%+-]+@", run("A-Za-z0-9._%+-") + "@")
+
+
 def strip(c: Column) -> Column:
     """Without white space around it."""
-    return F.regexp_replace(c, rf"^[{WHITE}]+|[{WHITE}]+$", "")
+    return F.regexp_replace(c, rf"^[{WHITE}]++|{run(WHITE)}$", "")
 
 
 def letters_of(c: Column) -> Column:
@@ -145,7 +156,7 @@ def token_kind(c: Column) -> Column:
     return (
         F.when(t == "", "empty")
         .when(bare.rlike(r"^[0-9]{1,6}(?:[.][0-9]+)?%?$") | grouped, "digit")
-        .when(t.rlike(CONTACT_CUE) | t.rlike(CONTACT_VALUE), "contact")
+        .when(t.rlike(CONTACT_CUE) | t.rlike(CONTACT_FOUND), "contact")
         .when(t.rlike(ROLE_LINE), "role")
         .when((F.length(t) <= 6) & t.rlike("[A-Za-z]") & ~t.rlike(f"[{WHITE}]"), "short")
         .when((F.size(F.split(t, f"[{WHITE}]+")) >= 4) | (F.length(t) >= 24), "long")

@@ -174,6 +174,30 @@ def reading_order(words: Column) -> Column:
     return F.transform(F.array_sort(F.transform(placed, lambda p: F.struct(p["line"].alias("line"), p["x"].alias("x"), p["seq"].alias("seq")))), lambda p: p["seq"])
 
 
+# ---- items from matrices ----
+
+
+def compose(first: Column, then: Column) -> Column:
+    """The matrix (a, b, c, d, e, f) of `first` followed by `then`."""
+    m, v = (lambda i: F.get(then, F.lit(i))), (lambda i: F.get(first, F.lit(i)))
+    linear = [m(r) * v(2 * k) + m(r + 2) * v(2 * k + 1) for k in (0, 1) for r in (0, 1)]
+    return F.array(*linear, m(0) * v(4) + m(2) * v(5) + m(4), m(1) * v(4) + m(3) * v(5) + m(5))
+
+
+def placed_items(items: DataFrame, view: Column, scale: Column) -> DataFrame:
+    """Runs of text on the page as drawn: items with columns str, matrix,
+    width, height become x, y (of the baseline's start), w, h (the composed
+    matrix's vertical scale, or the item's height if that is zero) and angle
+    (how the run is turned). Items without text or matrix go."""
+    real = items.where(F.col("str").isNotNull() & F.col("matrix").isNotNull())
+    x = real.withColumn("_m", compose(F.col("matrix"), view))
+    at = lambda i: F.get("_m", F.lit(i))
+    tall = F.hypot(at(2), at(3))
+    out = x.withColumn("x", at(4)).withColumn("y", at(5)).withColumn("w", F.col("width") * scale)
+    out = out.withColumn("h", F.when(tall == 0, F.col("height") * scale).otherwise(tall)).withColumn("angle", F.atan2(at(1), at(0)))
+    return out.drop("_m")
+
+
 # ---- clusters and roles ----
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilwork.functions.text import WHITE, strip
+from veilwork.functions.text import CONTACT_FOUND, WHITE, run, strip
 from veilwork.operators.arrays import let, matches, placed
 
 # The words that anchor a name.
@@ -70,7 +70,7 @@ def neighbours(lines: DataFrame, key: str, above: int, below: int) -> DataFrame:
 
 
 def _trimmed(c: Column) -> Column:
-    return F.regexp_replace(strip(c), "[,.;:]+$", "")
+    return F.regexp_replace(strip(c), run(",.;:") + "$", "")
 
 
 def is_name(c: Column) -> Column:
@@ -105,10 +105,10 @@ def _hit(start: Column, raw: Column) -> Column:
 def names_in(text: Column, from_ocr: bool = False) -> Column:
     """Names after a signature label, under a sign-off or label, over a job
     title or contact line, or beside a title on one line."""
-    contact = lambda c: c.rlike(CONTACT_LABEL) | c.rlike(CONTACT_VALUE)
+    contact = lambda c: c.rlike(CONTACT_LABEL) | c.rlike(CONTACT_FOUND)
     sign_off = ascii_borders(SIGN_OFF)
     role = (lambda c: is_role_line(c)) if from_ocr else (lambda c: c.rlike(ROLES) & ~is_name(c))
-    anchor = "|".join(["(?i)(?m)(?:" + p.replace("(?i)", "") + ")" for p in (ROLES, sign_off, SIGN_LABEL)]) + f"|(?m)(?:{CONTACT_LABEL})|{CONTACT_VALUE}"
+    anchor = "|".join(["(?i)(?m)(?:" + p.replace("(?i)", "") + ")" for p in (ROLES, sign_off, SIGN_LABEL)]) + f"|(?m)(?:{CONTACT_LABEL})|{CONTACT_FOUND}"
     line = lambda at, raw: F.struct(at.alias("start"), raw.alias("raw"), strip(raw).alias("body"))
     lines = F.filter(placed(F.split(text, "\n", -1), lambda raw: F.length(raw) + 1, line, "array<struct<start:int,raw:string,body:string>>"), lambda x: x["body"] != "")
 
@@ -147,7 +147,7 @@ def addresses_in(text: Column) -> Column:
             begin = m["start"] - F.length(lead)
             raw = F.substring(text, begin + 1, stop + last["start"] + F.length(last["text"]) - begin)
             short = F.regexp_replace(raw, r"^[\s,]+", "")
-            return F.struct((begin + F.length(raw) - F.length(short)).cast("int").alias("start"), F.regexp_replace(short, r"[\s,]+$", "").alias("text"))
+            return F.struct((begin + F.length(raw) - F.length(short)).cast("int").alias("start"), F.regexp_replace(short, run(r"\s,") + "$", "").alias("text"))
 
         # a street that goes over a line's end has nothing after it on its first line
         return F.when(~F.contains(m["text"], F.lit("\n")), let(matches(after, ascii_borders(POSTAL)), lambda codes: F.when(F.size(codes) > 0, ended(codes))))

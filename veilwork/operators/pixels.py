@@ -65,17 +65,79 @@ def index_quantile(values: Column, share: float) -> Column:
     return F.get(F.array_sort(values), F.least(F.floor(F.size(values) * share), F.size(values) - 1).cast("int"))
 
 
-def ladder(low: float, high: float) -> list[float]:
-    """Scales around 1: steps of 8 % from 0.7 to 1.6, of 25 % outside."""
-    out, s = [1.0], 1.0
-    while (s := s / (1.08 if s / 1.08 >= 0.7 else 1.25)) >= low:
-        out.insert(0, s)
-    s = 1.0
-    while (s := s * (1.08 if s * 1.08 <= 1.6 else 1.25)) <= high:
+# Steps of the scales near and far from 1, where the near ones end, the
+# least area and short side of a copy in pixels, and the largest copy.
+NEAR_STEP, FAR_STEP, NEAR_LOW, NEAR_HIGH = 1.08, 1.25, 0.7, 1.6
+COPY_AREA, COPY_SHORT, COPY_MOST = 400, 6, 4.0
+# Working sizes (long side wanted, least short side, most long side,
+# short side under which the length gives way), and the aspect of wide marks.
+COARSE, COARSE_WIDE, FINE, NATIVE, WIDE = (20, 7, 96, 4), (20, 12, 160, 6), (40, 10, 160, 6), (160, 12, 160, 6), 3
+
+
+def _steps(start: float, by: float, inside) -> list[float]:
+    """start * by, start * by * by, ... as long as they lie inside."""
+    out, s = [], start * by
+    while inside(s):
         out.append(s)
+        s *= by
     return out
 
 
+def ladder(low: float, high: float) -> list[float]:
+    """Scales around 1, to three decimals: steps of 8 % from 0.7 to 1.6; of 25 %
+    outside, counted from the last near one as it is written."""
+    short = lambda xs: [round(x, 3) for x in xs]
+    down, up = short(_steps(1.0, 1 / NEAR_STEP, lambda s: s >= NEAR_LOW)), short(_steps(1.0, NEAR_STEP, lambda s: s <= NEAR_HIGH))
+    down += short(_steps(down[-1], 1 / FAR_STEP, lambda s: s >= low))
+    up += short(_steps(up[-1], FAR_STEP, lambda s: s <= high + 0.001))
+    return [s for s in [*reversed(down), 1.0, *up] if low * 0.999 <= s <= high * 1.001]
+
+
+def scales_for(width: float, height: float, least_area: float = COPY_AREA, most: float = COPY_MOST) -> list[float]:
+    """The scales at which copies of a mark are looked for: none so small that
+    it has too little area or too short a side; 1 is always among them."""
+    if min(width, height) <= 0:
+        return ladder(0.24, COPY_MOST)
+    low = max((least_area / max(1, width * height)) ** 0.5, COPY_SHORT / min(width, height))
+    return ladder(min(low, 1.0), max(most, 1.0))
+
+
+def working_scale(width: Column, height: Column, size: tuple[int, int, int, int]) -> Column:
+    """How much a mark is shrunk to be worked on: to the long side wanted, less
+    if its short side would get too small, more if its long side stays too
+    large, though never so that nothing is left of the short side. Marks are
+    not enlarged. 0 for a mark without area."""
+    target, least_short, most_long, floor_short = size
+    long, short = F.greatest(width, height), F.least(width, height)
+    scale = F.greatest(F.least(F.greatest(target / long, least_short / short), most_long / long), floor_short / short)
+    return F.when((long > 0) & (short > 0), F.least(F.lit(1.0), scale)).otherwise(0.0)
+
+
+def coarse_scale(width: Column, height: Column) -> Column:
+    """working_scale() of the coarse stage: wide marks keep more of their height."""
+    wide = (F.least(width, height) > 0) & (F.greatest(width, height) >= WIDE * F.least(width, height))
+    return F.when(wide, working_scale(width, height, COARSE_WIDE)).otherwise(working_scale(width, height, COARSE))
+
+
+def ground_colour(px: DataFrame, page: str) -> DataFrame:
+    """(page, r, g, b): the commonest colour along a picture's edge, in steps
+    of 16 and given as the middle of its step; a corner belongs to two edges. Of
+    colours that are as common the first met stays: along the top and bottom,
+    column by column, then along the sides. px: (page, x, y, r, g, b)."""
+    size = px.groupBy(page).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    x = px.join(size, page)
+    across = F.when(F.col("y") == 0, F.array(F.col("x") * 2)).otherwise(F.array().cast("array<long>"))
+    across = F.concat(across, F.when(F.col("y") == F.col("h") - 1, F.array(F.col("x") * 2 + 1)).otherwise(F.array().cast("array<long>")))
+    start = F.col("w") * 2
+    down = F.when(F.col("x") == 0, F.array(start + F.col("y") * 2)).otherwise(F.array().cast("array<long>"))
+    down = F.concat(down, F.when(F.col("x") == F.col("w") - 1, F.array(start + F.col("y") * 2 + 1)).otherwise(F.array().cast("array<long>")))
+    step = [F.floor(F.col(c) / 16).cast("int").alias(c) for c in ("r", "g", "b")]
+    met = x.select(page, *step, F.explode(F.concat(across.cast("array<long>"), down.cast("array<long>"))).alias("at"))
+    count = met.groupBy(page, "r", "g", "b").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    best = count.groupBy(page).agg(F.max_by(F.struct("r", "g", "b"), F.struct("n", -F.col("first"))).alias("c"))
+    return best.select(page, *[(F.col(f"c.{k}") * 16 + 8).alias(k) for k in ("r", "g", "b")])
+
+
 # What makes a page coarse and a template tiny, and the factors.
 COARSE_DPI, TINY_SIDE, COARSE_FACTOR, SMALL_TEXT_FACTOR = 150, 12, 2.0, 1.5
 

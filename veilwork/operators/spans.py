@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilwork.functions.text import WHITE
+from veilwork.functions.text import WHITE, run
 from veilwork.operators.arrays import let, matches
 from veilwork.operators.names import addresses_in, ascii_borders, names_in
 
@@ -51,7 +51,7 @@ def phones_in(text: Column) -> Column:
 
 def urls_in(text: Column) -> Column:
     """Web addresses without the sentence's punctuation after them."""
-    return F.transform(matches(text, ascii_borders(_white(URL))), lambda m: F.struct(m["start"].alias("start"), F.regexp_replace(m["text"], URL_END, "").alias("text")))
+    return F.transform(matches(text, ascii_borders(_white(URL))), lambda m: F.struct(m["start"].alias("start"), F.regexp_replace(m["text"], run(".,;:!?") + "$", "").alias("text")))
 
 
 #: Detectors by kind: (start, text) of what they find in a text.

@@ -23,6 +23,12 @@ ITEMS = Fixture(
         (2, 2, "x", 200.0, 50.0, 10.0, 12.0, False, 0.0),
     ),
 )
+_MATRICES = ((1.0, 0.0, 0.0, 1.0, 0.0, 0.0), (12.0, 0.0, 0.0, 12.0, 72.0, 700.0), (0.0, 10.0, -10.0, 0.0, 30.0, 40.0), (-9.0, 0.0, 0.0, -9.0, 5.0, 6.0), (8.0, 2.0, -2.0, 8.0, 1.5, 2.5), (5.0, 0.0, 0.0, 0.0, 9.0, 9.0), (0.0, 0.0, 0.0, 0.0, 1.0, 1.0))
+_VIEWS = ((1.0, 0.0, 0.0, 1.0, 0.0, 0.0), (2.0, 0.0, 0.0, -2.0, 0.0, 1584.0), (0.0, 1.5, 1.5, 0.0, 0.0, 0.0), (0.0, -1.5, 1.5, 0.0, 10.0, 900.0), (-1.0, 0.0, 0.0, 1.0, 612.0, 0.0))
+RUNS_OF_TEXT = Fixture(
+    "id long, str string, matrix array<double>, width double, height double, view array<double>, scale double",
+    tuple((i, f"run {i}", list(_MATRICES[i % 7]), 10.0 + i, 11.0, list(_VIEWS[i // 7]), (1.0, 2.0, 1.5, 1.5, 1.0)[i // 7]) for i in range(35)) + ((90, None, list(_MATRICES[0]), 1.0, 1.0, list(_VIEWS[0]), 1.0), (91, "no matrix", None, 1.0, 1.0, list(_VIEWS[0]), 1.0)),
+)
 SPANS = Fixture('page long, span long, start int, end int', ((1, 1, 0, 14), (1, 2, 15, 22), (2, 1, 1, 4)))
 RECTS = Fixture(
     "page long, span long, seq long, x double, y double, w double, h double",
@@ -144,6 +150,16 @@ def span_boxes(spark, sf_dir):
     return out.select("page", "span", *[F.round(c, 6).alias(c) for c in ("x", "y", "w", "h")])
 
 
+@query(
+    f"""WITH t AS (SELECT *, matrix[1] AS a, matrix[2] AS b, matrix[3] AS c, matrix[4] AS d, matrix[5] AS e, matrix[6] AS f, view[1] AS p, view[2] AS q, view[3] AS r, view[4] AS s, view[5] AS u, view[6] AS v FROM {RUNS_OF_TEXT.sql} WHERE str IS NOT NULL AND matrix IS NOT NULL),
+m AS (SELECT id, width, height, scale, p * a + r * b AS m0, q * a + s * b AS m1, p * c + r * d AS m2, q * c + s * d AS m3, p * e + r * f + u AS m4, q * e + s * f + v AS m5 FROM t)
+SELECT id, round(m4, 6) AS x, round(m5, 6) AS y, round(width * scale, 6) AS w, round(CASE WHEN m2 = 0 AND m3 = 0 THEN height * scale ELSE sqrt(m2 * m2 + m3 * m3) END, 6) AS h, round(abs(atan2(m1, m0)), 6) AS turned FROM m"""
+)
+def items_from_matrices(spark, sf_dir):
+    out = lay.placed_items(RUNS_OF_TEXT.df(spark), F.col("view"), F.col("scale"))
+    return out.select("id", *[F.round(c, 6).alias(c) for c in ("x", "y", "w", "h")], F.round(F.abs("angle"), 6).alias("turned"))
+
+
 PAGE_W, PAGE_H = 800, 600
 CLUSTER_SQL = f"""t AS (SELECT *, {kind_sql('str')} AS kind FROM {TOKENS.sql} WHERE w > 0 AND h > 0),
 e AS (SELECT a.page, a.seq AS u, b.seq AS v FROM t a JOIN t b ON a.page = b.page AND greatest(a.x, b.x) - least(a.x + a.w, b.x + b.w) <= 32 AND greatest(a.y, b.y) - least(a.y + a.h, b.y + b.h) <= 18),

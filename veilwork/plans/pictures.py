@@ -114,6 +114,40 @@ def page_upscale(spark, sf_dir):
     return SIZES.df(spark).select("id", pix.upscale(F.col("side"), F.col("dpi"), F.col("small"), F.col("most"), F.col("lettering")).cast("double").alias("factor"))
 
 
+_MARK_SIDES = (0.0, 1.0, 5.0, 6.0, 12.0, 20.0, 60.0, 61.0, 179.0, 180.0, 600.0, 2000.0)
+MARK_SIZES = Fixture("id long, w double, h double", tuple((12 * i + j, a, b) for i, a in enumerate(_MARK_SIDES) for j, b in enumerate(_MARK_SIDES)))
+
+
+def _working_sql(target, least_short, most_long, floor_short):
+    one = f"CASE WHEN s * {target} / l < {least_short} THEN {least_short} / s ELSE {target} / l END"
+    two = f"CASE WHEN l * ({one}) > {most_long} THEN {most_long} / l ELSE {one} END"
+    three = f"CASE WHEN s * ({two}) < {floor_short} THEN {floor_short} / s ELSE {two} END"
+    return f"CASE WHEN l <= 0 OR s <= 0 THEN 0 ELSE least(1, {three}) END"
+
+
+@query(
+    f"""WITH m AS (SELECT id, greatest(w, h) AS l, least(w, h) AS s FROM {MARK_SIZES.sql})
+SELECT id, round(CASE WHEN s > 0 AND l / s >= 3 THEN {_working_sql(20.0, 12.0, 160.0, 6.0)} ELSE {_working_sql(20.0, 7.0, 96.0, 4.0)} END, 9) AS coarse, round({_working_sql(40.0, 10.0, 160.0, 6.0)}, 9) AS fine, round({_working_sql(160.0, 12.0, 160.0, 6.0)}, 9) AS native FROM m"""
+)
+def working_scales(spark, sf_dir):
+    w, h = F.col("w"), F.col("h")
+    scales = {"coarse": pix.coarse_scale(w, h), "fine": pix.working_scale(w, h, pix.FINE), "native": pix.working_scale(w, h, pix.NATIVE)}
+    return MARK_SIZES.df(spark).select("id", *[F.round(c, 9).alias(k) for k, c in scales.items()])
+
+
+EDGES = Fixture("page long, x long, y long, r int, g int, b int", tuple((p, x, y, (x * 37 + y * 91 + p * 13) % (60 if p < 4 else 16), (x * y * 11 + p) % (40 if p < 4 else 16), 200 if (x + y) % p else 17) for p in range(1, 7) for x in range(5 + p) for y in range(1 if p == 6 else 4 + p)))
+
+
+@query(
+    f"""WITH p AS (SELECT *, max(x) OVER (PARTITION BY page) + 1 AS w, max(y) OVER (PARTITION BY page) + 1 AS h FROM {EDGES.sql}),
+e AS (SELECT *, 2 * x AS pos FROM p WHERE y = 0 UNION ALL SELECT *, 2 * x + 1 FROM p WHERE y = h - 1 UNION ALL SELECT *, 2 * w + 2 * y FROM p WHERE x = 0 UNION ALL SELECT *, 2 * w + 2 * y + 1 FROM p WHERE x = w - 1),
+c AS (SELECT page, r // 16 AS r, g // 16 AS g, b // 16 AS b, count(*) AS n, min(pos) AS first FROM e GROUP BY ALL)
+SELECT page, CAST(r * 16 + 8 AS INTEGER) AS r, CAST(g * 16 + 8 AS INTEGER) AS g, CAST(b * 16 + 8 AS INTEGER) AS b FROM c QUALIFY row_number() OVER (PARTITION BY page ORDER BY n DESC, first) = 1"""
+)
+def ground_colours(spark, sf_dir):
+    return pix.ground_colour(EDGES.df(spark), "page")
+
+
 @query()
 def template_search(spark, sf_dir):
     """Templates at several scales on synthetic pages; test_pixels has the places."""
