@@ -247,7 +247,9 @@ def test_contamination_like_brute_force(spark):
         docs.append((i, " ".join(words).capitalize() + "."))
     got = {(r["doc_id"], r["item_id"]): r["containment"] for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     grams = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)})(re.findall(r"[^\W_]+", t.lower()))
-    want = {}
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    want = {(d, i): 1.0 for d, t in docs for i, x in items if len(words(x)) < 5 and f" {' '.join(words(x))} " in f" {' '.join(words(t))} "}
+    assert want  # an item of three words is one shingle
     for d, t in docs:
         for i, s in items:
             g = grams(s)

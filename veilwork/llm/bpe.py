@@ -29,11 +29,9 @@ from veilwork.llm.common import Memo, ship, unused
 
 #: Bytes of words, and of chunks of text, that a worker remembers, in each of two
 #: generations.
-CACHE = 24 << 20
+CACHE = 36 << 20
 
 
-#: Pairs of tokens whose compatibility is remembered.
-PAIRS = 50_000
 #: After every merge.
 NEVER = 1 << 60
 
@@ -88,12 +86,11 @@ class Vocabulary:
             self.automaton.add_word(t[::-1], r)
         self.automaton.make_automaton()
         self.shorter = [self._shorter(t) for t in self.text_of]
-        self.known: dict[tuple[int, int], bool] = {}
         # what a token grows through at its end and at its beginning; parts come first
         self.ends, self.begins = [], []
         for r, (a, b) in enumerate(self.parts):
-            self.ends.append((r,) if a == r else (*self.ends[b], r))
-            self.begins.append((r,) if a == r else (*self.begins[a], r))
+            self.ends.append((r, NEVER) if a == r else (*self.ends[b][:-1], r, NEVER))
+            self.begins.append((r, NEVER) if a == r else (*self.begins[a][:-1], r, NEVER))
         # decoding: every token followed by a blank, one after the other
         blob = [n.encode() + b" " for n in self.names]
         self.sizes = np.array([len(b) for b in blob], dtype=np.int64)
@@ -125,19 +122,21 @@ class Vocabulary:
         through the tokens that end it and b through those that begin it, each
         when its number comes; the border goes if the pair that stands there
         has a merge whose turn is before both. Of one number the left is first."""
-        left, right, i, j = self.ends[a], self.begins[b], 0, 0
+        left, right, i, j = self.ends[a], self.begins[b], 1, 1
+        x, y, grow_left, grow_right = left[0], right[0], left[1], right[1]
+        turn = self.merged.get
         while True:
-            grow_left = left[i + 1] if i + 1 < len(left) else NEVER
-            grow_right = right[j + 1] if j + 1 < len(right) else NEVER
-            border = self.merged.get((left[i], right[j]), NEVER)
-            if border < grow_left and border <= grow_right and border != NEVER:
+            border = turn((x, y))
+            if border is not None and border < grow_left and border <= grow_right:
                 return False
             if grow_left <= grow_right:
                 if grow_left == NEVER:
                     return True
-                i += 1
+                x, i = grow_left, i + 1
+                grow_left = left[i]
             else:
-                j += 1
+                y, j = grow_right, j + 1
+                grow_right = right[j]
 
     def longest(self, word: str) -> list[int]:
         """For each place of the word, the longest token that starts there."""
@@ -157,20 +156,12 @@ class Vocabulary:
             return [self.id_of[whole]]
         n = len(word)
         longest, lengths, shorter = self.longest(word), self.lengths, self.shorter
-        dead, out, at, token, known = set(), [], 0, None, self.known
+        dead, out, at, token = set(), [], 0, None
         while at < n:
             if token is None:
                 token = longest[at]
             end = at + lengths[token]
-            fits = True
-            if out and end not in dead:
-                pair = (out[-1], token)
-                fits = known.get(pair)
-                if fits is None:
-                    if len(known) >= PAIRS:
-                        known.clear()
-                    known[pair] = fits = self.compatible(*pair)
-            if fits and end not in dead:
+            if end not in dead and (not out or self.compatible(out[-1], token)):
                 out.append(token)
                 at, token = end, None
             elif shorter[token] >= 0:
