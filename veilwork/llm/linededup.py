@@ -199,6 +199,9 @@ def removed_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", thresh
     wanted = ws.write(members.select(F.col("node").alias("h")).distinct())
     texts = ws.write(occ.join(small(ws, wanted), "h", "left_semi").groupBy(F.col("h").alias("node")).agg(F.min("norm").alias("n")))
 
+    every, occ = occ, ws.write(occ.select("doc", "th", "line", "h"))
+    ws.drop(every)
+
     def verify(todo: DataFrame) -> DataFrame:
         a, b = texts.select(F.col("node").alias("a"), F.col("n").alias("na")), texts.select(F.col("node").alias("b"), F.col("n").alias("nb"))
         return similar(todo.join(a, "a").join(b, "b"), threshold).distinct()

@@ -21,14 +21,26 @@ def members_of(buckets: DataFrame, ws: Workspace) -> DataFrame:
     return ws.write(buckets.join(small(ws, ws.write(keys.where("a <> b").select("key"))), "key", "left_semi").select("key", "node"))
 
 
+def _verified(edges: DataFrame | None, pairs: DataFrame, verify: Callable[[DataFrame], DataFrame], ws: Workspace) -> DataFrame:
+    """The edges and those of the pairs that are links. What they leave on
+    disk goes."""
+    todo = ws.write(pairs)
+    sure = verify(todo)
+    out = ws.write(sure if edges is None else edges.union(sure))
+    ws.drop(todo)
+    ws.tidy()
+    return out
+
+
 def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ws: Workspace, may: Callable[[Column, Column], Column] = lambda a, b: F.lit(True)) -> DataFrame:
     """Edges (a, b) such that their connected components are those of all
     verified pairs that share a bucket. The members (key, node, sign) have two
     nodes or more in each bucket; `may` tells of two signs whether the pair can
     be a link, so that others never get to the verification.
 
-    First each node is verified with the least node of its largest bucket
-    only: near copies share many buckets, and one link is enough. The same for
+    First each node is verified with one node of its largest bucket only, that
+    of the most and largest buckets, which the text that others are copies of
+    is: near copies share many buckets, and one link is enough. The same for
     one node of each component that a bucket still holds. Then every
     round takes pivots in each bucket that lies in two components or more,
     twice as many as the round before, and verifies them with the members of
@@ -37,18 +49,21 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ws: Works
     the rounds touch each row a few times, however large the bucket is. When few
     pairs are left untested, they are compared in one step: those outside their
     bucket's largest component with all others."""
-    first = ws.write(members.groupBy("key").agg(F.min(F.struct("node", "sign")).alias("pivot"), F.count("*").alias("n")))
-    home = members.join(first, "key").groupBy("node").agg(F.max(F.struct("n", "key", "sign", "pivot")).alias("home"))
+    sized = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
+    weight = sized.groupBy("node").agg(F.sum("n").alias("weight"))
+    weighed = ws.write(sized.join(weight, "node").select("key", "node", "sign", "n", "weight"))
+    first = weighed.groupBy("key").agg(F.max(F.struct("weight", "node", "sign")).alias("pivot"))
+    home = weighed.join(first, "key").groupBy("node").agg(F.max(F.struct("n", "key", "sign", "pivot")).alias("home"))
     star = home.where(may(F.col("home.sign"), F.col("home.pivot.sign"))).select(F.least("node", "home.pivot.node").alias("a"), F.greatest("node", "home.pivot.node").alias("b"))
-    edges, left = ws.write(verify(ws.write(star.where("a <> b").distinct()))), members
+    edges, left = _verified(None, star.where("a <> b").distinct(), verify, ws), members
     # then one of each component with one of the bucket's largest
     comp = ws.write(components(edges, ws))
-    labelled = members.join(small(ws, comp), "node", "left").select("key", "node", "sign", F.coalesce("root", "node").alias("label"))
-    one = ws.write(labelled.groupBy("key", "label").agg(F.count("*").alias("n"), F.min(F.struct("node", "sign")).alias("one")))
+    labelled = weighed.join(small(ws, comp), "node", "left").select("key", "node", "sign", "weight", F.coalesce("root", "node").alias("label"))
+    one = ws.write(labelled.groupBy("key", "label").agg(F.count("*").alias("n"), F.max(F.struct("weight", "node", "sign")).alias("one")))
     main = one.groupBy("key").agg(F.max(F.struct("n", "label", "one")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
     apart = one.join(main, "key").where(F.col("label") != F.col("main.label")).where(may(F.col("one.sign"), F.col("main.one.sign")))
-    some = apart.select(F.least("one.node", "main.one.node").alias("a"), F.greatest("one.node", "main.one.node").alias("b")).distinct()
-    edges = ws.write(edges.union(verify(ws.write(some))))
+    edges = _verified(edges, apart.select(F.least("one.node", "main.one.node").alias("a"), F.greatest("one.node", "main.one.node").alias("b")).distinct(), verify, ws)
+    ws.drop(weighed, one)
     step = 0
     while True:
         step += 1
@@ -69,7 +84,7 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ws: Works
             x = here.where("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("sign").alias("sx"))
             y = labelled.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("sign").alias("sy"))
             todo = x.join(y, "key").where((F.col("lx") != F.col("ly")) & may(F.col("sx"), F.col("sy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            return ws.write(edges.union(verify(ws.write(todo))))
+            return _verified(edges, todo, verify, ws)
         best = here.where("label <> main").groupBy("key").agg(F.max(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node")).alias("best"))
         drawn = F.pmod(F.xxhash64("node", F.lit(step)), F.col("minor")) < F.lit(1 << min(step, 40))
         chosen = (F.col("label") != F.col("main")) & (drawn | (F.col("node") == F.col("best.node")))
@@ -77,5 +92,5 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ws: Works
         x = marked.where("pivot").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("sign").alias("sx"))
         y = marked.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("sign").alias("sy"))
         todo = x.join(y, "key").where((F.col("lx") != F.col("ly")) & may(F.col("sx"), F.col("sy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        edges = ws.write(edges.union(verify(ws.write(todo))))
+        edges = _verified(edges, todo, verify, ws)
         left = ws.write(marked.where("not pivot").select("key", "node", "sign"))
