@@ -2,7 +2,9 @@
 
 import random
 
-from veilwork.llm import linededup
+from pyspark.sql import functions as F
+
+from veilwork.llm import linededup, linkage
 
 RNG = random.Random(21)
 WORDS = ["".join(RNG.choice("bcdfglmnprst") + RNG.choice("aeiou") for _ in range(RNG.randint(1, 4))) for _ in range(2000)]
@@ -74,3 +76,28 @@ def test_short_lines(spark):
     long = "東京都千代田区丸の内一丁目九番一号鉄鋼ビルディング"
     lines = ["Ietzte.", "ietzte", "---", "---", long, long, long.replace("九", "八"), "one two", "", "One, two!", "12", "13"]
     assert removed(spark, lines) == {1, 5, 6, 9}
+
+
+def test_pairs_of_a_common_passage(spark, monkeypatch):
+    # lines around one passage share blocks, but few are similar: pairs whose lengths
+    # rule it out aren't verified, the others once, in however many rounds
+    rng = random.Random(5)
+    passage = [rng.choice(WORDS) for _ in range(25)]
+    own = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    lines = [" ".join(own(n % 9) + passage + own(n % 23)) for n in range(90)]
+    lines += [" ".join(line.split()[:-1] + own(1)) for line in lines[::6]]
+    seen, real = [], linededup.similar
+
+    def similar(pairs, threshold):
+        seen.extend(pairs.select("a", "b", F.length("na"), F.length("nb")).collect())
+        return real(pairs, threshold)
+
+    monkeypatch.setattr(linededup, "similar", similar)
+    least = removed(spark, lines)
+    monkeypatch.setattr(linkage, "REST", 0)
+    monkeypatch.setattr(linkage, "FEW", 0)
+    once, seen[:] = list(seen), []
+    assert removed(spark, lines) == least and least >= set(range(90, 105))
+    for pairs in (once, seen):
+        assert pairs and len({(a, b) for a, b, _, _ in pairs}) == len(pairs)
+        assert all(abs(x - y) <= int(0.2 * max(x, y) + 1e-9) for _, _, x, y in pairs)

@@ -122,33 +122,43 @@ def blocks(lines: DataFrame) -> DataFrame:
 
 
 def signs(texts: DataFrame) -> DataFrame:
-    """(node, sign): of lines (node, n) the SimHash as a whole (63 bits): of
-    the distinct words of LEAST bytes, or, for short lines and those of uncommon
-    words, of pieces of three bytes, which the sign bit tells. Null if there is
-    no feature, or more than a lane can count."""
-    x = texts.select("node", "n", F.octet_length("n").alias("size"), _once(words=F.split("n", " ")))
+    """(node, sign): of lines (node, n) a struct of bits, the SimHash as a whole
+    (63 bits), and chars, their length. The SimHash is of the distinct words of
+    LEAST bytes, or, for short lines and those of uncommon words, of pieces of
+    three bytes, which the sign bit tells. Bits are null if there are more
+    features than a lane can count; a line without any has no row."""
+    x = texts.select("node", "n", F.length("n").alias("chars"), F.octet_length("n").alias("size"), _once(words=F.split("n", " ")))
     mean = F.col("size") / F.size("words") - 1
     is_word = (F.col("size") >= SHORT) & mean.between(FEWEST, MOST)
     padded = F.array(F.concat(F.lit(" "), "n", F.lit(" ")).cast("binary"))
     pieces = F.flatten(F.transform(padded, lambda b: F.transform(F.sequence(F.lit(1), F.greatest(F.length(b) - 2, F.lit(1))), lambda i: F.substring(b, i, F.lit(3)).cast("string"))))
-    x = x.select("node", is_word.alias("w"), F.explode(F.array_distinct(F.when(is_word, F.col("words")).otherwise(pieces))).alias("f"))
-    x = x.where(~F.col("w") | (F.octet_length("f") >= LEAST)).select("node", "w", F.xxhash64("f").alias("x"))
+    x = x.select("node", "chars", is_word.alias("w"), F.explode(F.array_distinct(F.when(is_word, F.col("words")).otherwise(pieces))).alias("f"))
+    x = x.where(~F.col("w") | (F.octet_length("f") >= LEAST)).select("node", "chars", "w", F.xxhash64("f").alias("x"))
     lane, top = 0x000100010001, 0x800080008000
     sums = [F.sum(F.shiftrightunsigned("x", i).bitwiseAND(F.lit(lane))).alias(f"s{i}") for i in range(21)]
-    summed = x.groupBy("node", "w").agg(*sums, F.count("*").alias("k"))
+    summed = x.groupBy("node", "chars", "w").agg(*sums, F.count("*").alias("k"))
     least = (F.lit(32767) - F.floor(F.least("k", F.lit(32767)) / 2)) * F.lit(lane)
     # bits of the first sixteen sums have places of their own; the others go between lanes 48 and 63
     parts = [F.shiftrightunsigned((F.col(f"s{i}") + least).bitwiseAND(F.lit(top)), 15 - i) for i in range(16)]
     rest = [F.shiftright((F.col(f"s{i}") + least).bitwiseAND(F.lit(top)), 15 + 16 * j).bitwiseAND(F.lit(1)) * F.lit(1 << (48 + (i - 16) * 3 + j)) for i in range(16, 21) for j in range(3)]
     sign = reduce(lambda a, b: a.bitwiseOR(b), [*parts, *rest])
-    return summed.select("node", F.when(F.col("k") <= 32767, F.when(F.col("w"), sign).otherwise(sign.bitwiseOR(F.lit(-(1 << 63))))).alias("sign"))
+    bits = F.when(F.col("k") <= 32767, F.when(F.col("w"), sign).otherwise(sign.bitwiseOR(F.lit(-(1 << 63)))))
+    return summed.select("node", F.struct(bits.alias("bits"), "chars").alias("sign"))
 
 
-def near_signs(a: Column, b: Column) -> Column:
-    """Whether two lines can be similar: FAR bits at most differ. Nothing is
-    known of a null, nor of two of different features."""
-    x = a.bitwiseXOR(b)
-    return F.coalesce((x < 0) | (F.bit_count(x) <= FAR), F.lit(True))
+def _most(a: Column, b: Column, threshold: float) -> Column:
+    """Of lines of so many characters the greatest distance that is similar."""
+    return F.floor(F.greatest(a, b) * (1 - threshold) + 1e-9).cast("int")
+
+
+def near_signs(a: Column, b: Column, threshold: float = SIMILARITY) -> Column:
+    """Whether two lines can be similar: FAR bits at most differ, and their
+    lengths by no more than a distance may be, which loses nothing. Nothing is
+    known of a null, nor of bits of different features."""
+    x = a["bits"].bitwiseXOR(b["bits"])
+    alike = (x < 0) | (F.bit_count(x) <= FAR)
+    as_long = F.abs(a["chars"] - b["chars"]) <= _most(a["chars"], b["chars"], threshold)
+    return F.coalesce(alike, F.lit(True)) & F.coalesce(as_long, F.lit(True))
 
 
 def similar(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -162,7 +172,7 @@ def similar(pairs: DataFrame, threshold: float) -> DataFrame:
         at = F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False)
         return F.when(at == 0, F.greatest(F.size(x), F.size(y))).otherwise(at - 1).cast("int")
 
-    most = F.floor(F.greatest(F.length("na"), F.length("nb")) * (1 - threshold) + 1e-9).cast("int")
+    most = _most(F.length("na"), F.length("nb"), threshold)
     x = pairs.select("a", "b", most.alias("most"), _once(wa=F.split("na", " "), wb=F.split("nb", " ")))
     x = x.select("a", "b", "most", "wa", "wb", _once(head=common(F.col("wa"), F.col("wb")), tail=common(F.reverse("wa"), F.reverse("wb"))))
     x = x.withColumn("tail", F.least("tail", F.least(F.size("wa"), F.size("wb")) - F.col("head")))
@@ -207,7 +217,7 @@ def removed_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", thresh
         return similar(todo.join(a, "a").join(b, "b"), threshold).distinct()
 
     signed = ws.write(members.join(ws.write(signs(texts)), "node", "left").select("key", "node", "sign"))
-    comp = ws.write(components(link(signed, verify, ws, near_signs), ws))
+    comp = ws.write(components(link(signed, verify, ws, lambda a, b: near_signs(a, b, threshold)), ws))
     again = occ.groupBy(F.col("h").alias("node")).agg(F.count("*").alias("n")).where("n > 1").select("node")
     classes = ws.write(again.join(comp, "node", "full_outer").select(F.col("node").alias("h"), F.coalesce("root", "node").alias("root")))
     of_class = ws.write(occ.join(small(ws, classes), "h").select("root", "doc", "th", "line"))
