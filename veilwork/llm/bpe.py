@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilwork.llm.common import Memo, ship, unused
+from veilwork.llm.common import Memo, ship, trim, unused
 
 #: Bytes of words, and of chunks of text, that a worker remembers, in each of two
 #: generations.
@@ -273,6 +273,18 @@ SCHEMA = T.StructType(
     ]
 )
 _LOADED: dict[int, Tokenizer] = {}
+#: Bytes of text that are encoded at once: their ids, the decoded text and the
+#: strings and arrays of both take some ten times as many.
+AT_ONCE = 1 << 20
+
+
+def rest() -> None:
+    """Before other operators use this worker: its tokenizers forget what they
+    remember, but stay."""
+    for tok in _LOADED.values():
+        tok.words.forget()
+        tok.chunks.forget()
+    trim()
 
 
 def encode_decode(df: DataFrame, spec: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -296,9 +308,10 @@ def encode_decode(df: DataFrame, spec: str, text: str = "text", keep: tuple[str,
         if key not in _LOADED:
             _LOADED[key] = Tokenizer(Vocabulary(shared.value))
         tok = _LOADED[key]
+        trim()
         for batch in batches:
             # slices: ids and decoded text are larger than the text
-            for part in slices(batch, n):
+            for part in slices(batch, n, AT_ONCE):
                 ids = [tok.encode(t) for t in part.column(n).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -3,17 +3,19 @@ written there to cut lineage, and distributed connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.shipping import ship
 
-__all__ = ["Memo", "Workspace", "components", "scratch", "shared_dir", "ship", "small", "unused"]
+__all__ = ["Memo", "Workspace", "components", "scratch", "shared_dir", "ship", "small", "trim", "unused"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +63,16 @@ class Memo(dict):
         self.old, self.used = {}, 0
 
 
+def trim() -> None:
+    """Gives what this worker has freed back to the system: a worker stays for
+    the operators that come after, and its executor's memory is shared."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 class Workspace:
     """Parquet tables in the shared folder. write() cuts the lineage: what
     reads the table again doesn't depend on executors that made it. Tables go

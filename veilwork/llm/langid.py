@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilwork.llm.bpe import slices
-from veilwork.llm.common import ship, unused
+from veilwork.llm.bpe import rest, slices
+from veilwork.llm.common import ship, trim, unused
 
 #: The model is fitted on about so many labelled rows at most, drawn by a hash of their id.
 TRAIN_ROWS = 10_000
@@ -122,6 +122,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc: str = "doc_i
     rows = rows.where(F.pmod(F.xxhash64(F.col(doc).cast("string")), F.lit(parts)) < share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest()
         sums = defaultdict(lambda: (np.zeros(1 << BITS, np.int64), np.zeros(len(SCRIPTS) + 2, np.int64)))
         for batch in batches:
             for part in slices(batch, 1):
@@ -277,6 +278,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest()
         predict = Predictor(shared.value)
         spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
         for batch in batches:
@@ -286,5 +288,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
                     [*part.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], spans)],
                     names=schema.names,
                 )
+        del predict
+        trim()
 
     return df.select(*keep, F.col(text).cast("string").alias(unused(df, "text")[0])).mapInArrow(run, schema)

@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.bpe import slices
-from veilwork.llm.common import Memo, Workspace, components, ship, small
+from veilwork.llm.bpe import rest, slices
+from veilwork.llm.common import Memo, Workspace, components, ship, small, trim
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair with the least similarity shares a band with probability 1 - (1 - 0.8^3)^10 > 0.999.
@@ -32,6 +32,8 @@ LEAST_EQUAL = 17
 FEW, BLOCK, BLOCK_BYTES = 16, 1024, 8 << 20
 #: Bytes of words whose hash a worker remembers, in each of two generations.
 CACHE = 12 << 20
+#: Counts of the buckets are summed in so many parts, first in so many branches.
+PARTS, BRANCHES = 64, 32
 
 _U = np.uint64
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -86,23 +88,33 @@ def idf_of(n: np.ndarray, total: int) -> np.ndarray:
 
 
 def idf_table(df: DataFrame, text: str) -> np.ndarray:
-    """IDF of each bucket, from all rows. Partial counts of a fixed size are
-    summed as a tree."""
+    """IDF of each bucket, from all rows. Partial counts of a fixed size are cut
+    into PARTS and summed as a tree, all in the workers of DataFrames: those of
+    RDDs would be a second set of processes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((1 << DF_BITS) + 1, np.int64)
+        rest()
+        n, rows = np.zeros(1 << DF_BITS, np.int64), 0
         for batch in batches:
             for part in slices(batch, 0, 2 << 20):
                 _, h, _ = shingles(part.column(0).to_pylist())
-                n[:-1] += np.bincount(bucket(h), minlength=1 << DF_BITS)
-                n[-1] += part.num_rows
+                n += np.bincount(bucket(h), minlength=1 << DF_BITS)
+                rows += part.num_rows
         _HASHES.forget()
-        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], names=["n"])
+        cut = [*np.split(n, PARTS), np.array([rows])]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS + 1), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["part", "n"])
 
-    rows = df.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "n binary").rdd
-    zero = np.zeros((1 << DF_BITS) + 1, np.int64)
-    n = rows.map(lambda r: np.frombuffer(r[0], np.int64)).treeAggregate(zero, lambda a, b: a + b, lambda a, b: a + b, depth=2)
-    return idf_of(n[:-1], n[-1])
+    def total(table: pa.Table) -> pa.Table:
+        n = sum(np.frombuffer(x.as_py(), np.int64) for x in table["n"])
+        return pa.table({"part": table["part"][:1], "n": pa.array([n.tobytes()], pa.binary())})
+
+    some = df.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "part int, n binary")
+    some = some.groupBy("part", (F.spark_partition_id() % BRANCHES).alias("branch")).applyInArrow(total, "part int, n binary")
+    got = some.groupBy("part").applyInArrow(total, "part int, n binary").toArrow()
+    n = {p: np.frombuffer(x, np.int64) for p, x in zip(got["part"].to_pylist(), got["n"].to_pylist())}
+    if not n:
+        return np.ones(1 << DF_BITS)
+    return idf_of(np.concatenate([n[p] for p in range(PARTS)]), int(n[PARTS][0]))
 
 
 class Sampler:
@@ -229,6 +241,7 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", thre
     src = df.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(t).alias("node"), t.alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest()
         sampler = Sampler(idf.value)
         for batch in batches:
             for part in slices(batch, 2, 2 << 20):
@@ -242,6 +255,8 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", thre
                 null = part.column(2).is_null()
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, pa.array(samples, pa.binary()), null], names=["doc", "node", "bands", "prints", "blank"])
         _HASHES.forget()
+        del sampler
+        trim()
 
     signed = ws.write(src.mapInArrow(sign, "doc long, node long, bands array<long>, prints binary, blank boolean").withColumn("row", F.monotonically_increasing_id()))
     # a null text equals nothing: its node is its row
@@ -280,6 +295,7 @@ def _links(signed: DataFrame, src: DataFrame, idf, threshold: float, ws: Workspa
                 like = both.similarity(np.arange(n), np.arange(n) + n)
                 yield part.select(["a", "b"]).filter(pa.array(like >= threshold, pa.bool_()))
         _HASHES.forget()
+        trim()
 
     ta, tb = (texts.select(F.col("node").alias(k), F.col("text").alias(f"t{k}"), F.col("prints").alias(f"p{k}")) for k in "ab")
     some = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb", "pa", "pb").mapInArrow(compare, "a long, b long")
