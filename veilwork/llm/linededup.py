@@ -24,8 +24,12 @@ from veilwork.llm.common import Workspace, components, small, unused
 from veilwork.llm.linkage import link, members_of
 
 SIMILARITY = 0.8
-#: Words up to which the order of common words is looked at before the distance.
-ORDERED = 400
+#: Words among which the next two common words, and the next one, are looked for
+#: before the distance.
+AHEAD, NEXT = 64, 6
+#: What is between two common words has a distance computed if the product of its
+#: sides' lengths is at most this.
+GAP = 1 << 14
 #: Bytes of a feature: words have LEAST or more, pieces PIECE.
 LEAST, PIECE = 4, 5
 #: Lines of fewer bytes have pieces for features, those of the second number or more
@@ -161,12 +165,44 @@ def near_signs(a: Column, b: Column, threshold: float = SIMILARITY) -> Column:
     return F.coalesce(alike, F.lit(True)) & F.coalesce(as_long, F.lit(True))
 
 
+def _in_order(wa: Column, wb: Column) -> Column:
+    """From above the distance of two lines, from their words: the words of one
+    are looked for in the other one after the other; what lies between two that
+    are found costs its distance, or its longer side if it is long. A word is found at its place if as many
+    words were passed over on both sides, else with the word after it among the
+    next AHEAD, else alone among the next NEXT. There a short word isn't found
+    if more words are passed over than on its own side, as it may be another."""
+    both = lambda w: F.transform(w, lambda v, i: F.concat(v, F.lit(" "), F.coalesce(F.get(w, i + 1), F.lit(""))))
+    text = lambda w: F.array_join(F.transform(w, lambda v: F.concat(v, F.lit(" "))), "")
+    between = lambda p, q: F.when(F.length(p) * F.length(q) <= GAP, F.levenshtein(p, q)).otherwise(F.greatest(F.length(p), F.length(q)))
+    state = lambda at, words, gap, cost: F.struct(at.alias("at"), words.alias("words"), gap.alias("gap"), cost.alias("cost"))
+    zero, none = F.lit(0), F.lit("")
+
+    def step(s: Column, x: Column) -> Column:
+        w, k = x["w"], x["k"]
+        passed = F.when((k == 1) & (s["words"] == 0), 0).otherwise(between(s["gap"], text(F.slice(wb, s["at"] + 1, k - 1))))
+        return F.when(k > 0, state(s["at"] + k, zero, none, s["cost"] + passed)).otherwise(state(s["at"], s["words"] + 1, F.concat(s["gap"], w, F.lit(" ")), s["cost"]))
+
+    def next_(s: Column, x: Column, pairs: Column) -> Column:
+        w = x["w"]
+        place = F.when(F.get(wb, s["at"] + s["words"]) == w, s["words"] + 1)
+        pair = F.nullif(F.array_position(F.slice(pairs, s["at"] + 1, F.lit(AHEAD)), x["pair"]), F.lit(0)).cast("int")
+        alone = F.array_position(F.slice(wb, s["at"] + 1, F.when(F.length(w) >= LEAST, NEXT).otherwise(F.least(s["words"] + 1, F.lit(NEXT)))), w).cast("int")
+        # what is used more than once is computed once
+        return F.element_at(F.transform(F.array(F.struct(w.alias("w"), F.coalesce(place, pair, alone).alias("k"))), lambda v: step(s, v)), 1)
+
+    rest = lambda s: s["cost"] + between(s["gap"], text(F.slice(wb, s["at"] + 1, F.greatest(F.size(wb) - s["at"], zero))))
+    words = F.zip_with(wa, both(wa), lambda w, p: F.struct(w.alias("w"), p.alias("pair")))
+    found = F.transform(F.array(both(wb)), lambda pairs: F.aggregate(words, state(zero, zero, none, zero), lambda s, x: next_(s, x, pairs), rest))
+    return F.element_at(found, 1)
+
+
 def similar(pairs: DataFrame, threshold: float) -> DataFrame:
     """Of rows (a, b, na, nb: the normalised lines) the pairs (a, b) whose edit
     similarity reaches the threshold. What both lines begin or end with doesn't
     count for the distance. Words that differ place by place bound it from
-    above, and so does what lies between long words of both, if these stand in
-    one order; where that doesn't settle a pair, it is computed."""
+    above, and so does what lies between common words that are met in one
+    order; where that doesn't settle a pair, it is computed."""
 
     def common(x: Column, y: Column) -> Column:
         at = F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False)
@@ -181,15 +217,7 @@ def similar(pairs: DataFrame, threshold: float) -> DataFrame:
     # every word with a blank after it: then what goes are whole pieces
     text = lambda w: F.array_join(F.transform(w, lambda v: F.concat(v, F.lit(" "))), "")
     by_place = F.aggregate(F.zip_with("wa", "wb", lambda p, q: F.when(p == q, 0).otherwise(F.greatest(F.length(p), F.length(q)))), F.lit(0), lambda s, v: s + v)
-    # long words of both, if they stand in one order: what is between them costs no more than its longer side
-    mark = "\x01"
-    kept = lambda w, v: (F.length(w) >= LEAST) & F.array_contains(v, w)
-    order = lambda u, v: F.filter(u, lambda w: kept(w, v))
-    gaps = lambda u, v: F.split(F.array_join(F.transform(u, lambda w: F.when(kept(w, v), mark).otherwise(F.concat(w, F.lit(" ")))), ""), mark, -1)
-    between = F.aggregate(F.zip_with(gaps(F.col("wa"), F.col("wb")), gaps(F.col("wb"), F.col("wa")), lambda p, q: F.greatest(F.length(p), F.length(q))), F.lit(0), lambda s, v: s + v)
-    by_order = F.when(order(F.col("wa"), F.col("wb")) == order(F.col("wb"), F.col("wa")), between)
-    most_ = F.lit(2**31 - 1)
-    above = F.when((F.size("wa") == F.size("wb")) & (by_place <= F.col("most")), by_place).otherwise(F.when(F.greatest(F.size("wa"), F.size("wb")) <= ORDERED, F.coalesce(by_order, most_)).otherwise(most_))
+    above = F.when((F.size("wa") == F.size("wb")) & (by_place <= F.col("most")), by_place).otherwise(_in_order(F.col("wa"), F.col("wb")))
     x = x.select("a", "b", "most", _once(ma=text(F.col("wa")), mb=text(F.col("wb")), above=above))
     return x.where("above <= most or (abs(length(ma) - length(mb)) <= most and (greatest(length(ma), length(mb)) <= most or levenshtein(ma, mb, most) >= 0))").select("a", "b")
 
