@@ -101,3 +101,24 @@ def test_pairs_of_a_common_passage(spark, monkeypatch):
     for pairs in (once, seen):
         assert pairs and len({(a, b) for a, b, _, _ in pairs}) == len(pairs)
         assert all(abs(x - y) <= int(0.2 * max(x, y) + 1e-9) for _, _, x, y in pairs)
+
+
+def test_bound_of_common_words(spark):
+    # words change places, go, come twice or are others: what lies between common
+    # words is never under the distance, and settles most pairs that are similar
+    rng = random.Random(13)
+    rows = []
+    for n in range(120):
+        own = [rng.choice(WORDS) for _ in range(rng.choice((12, 40, 120)))]
+        other = list(own)
+        for _ in range(1 + len(own) // 20):
+            i = rng.randrange(len(other) - 1)
+            other[i : i + 2] = rng.choice(([other[i + 1], other[i]], [other[i]], [other[i], other[i], other[i + 1]], [rng.choice(WORDS), other[i + 1]]))
+        rows.append((n, " ".join(own), " ".join(other)))
+    rows += [(-1, "", "a b"), (-2, "a b", "b a"), (-3, "a a a", "a"), (-4, "x", "y z")]
+    df = spark.createDataFrame(rows, "n long, a string, b string")
+    most = linededup._most(F.length("a"), F.length("b"), 0.8)
+    got = df.select("n", F.levenshtein("a", "b").alias("exact"), most.alias("most"), linededup._in_order(F.split("a", " "), F.split("b", " ")).alias("above")).collect()
+    assert all(r["exact"] <= r["above"] for r in got)
+    alike = [r for r in got if r["n"] >= 0 and r["exact"] <= r["most"]]
+    assert len(alike) > 100 and sum(r["above"] <= r["most"] for r in alike) >= 0.95 * len(alike)

@@ -168,10 +168,11 @@ def near_signs(a: Column, b: Column, threshold: float = SIMILARITY) -> Column:
 def _in_order(wa: Column, wb: Column) -> Column:
     """From above the distance of two lines, from their words: the words of one
     are looked for in the other one after the other; what lies between two that
-    are found costs its distance, or its longer side if it is long. A word is found at its place if as many
-    words were passed over on both sides, else with the word after it among the
-    next AHEAD, else alone among the next NEXT. There a short word isn't found
-    if more words are passed over than on its own side, as it may be another."""
+    are found costs its distance, or its longer side if it is long. A word is
+    found at its place if as many words were passed over on both sides, else
+    with the word after it among the next AHEAD, else alone among the next NEXT.
+    There a short word isn't found if more words are passed over than on its own
+    side, as it may be another."""
     both = lambda w: F.transform(w, lambda v, i: F.concat(v, F.lit(" "), F.coalesce(F.get(w, i + 1), F.lit(""))))
     text = lambda w: F.array_join(F.transform(w, lambda v: F.concat(v, F.lit(" "))), "")
     between = lambda p, q: F.when(F.length(p) * F.length(q) <= GAP, F.levenshtein(p, q)).otherwise(F.greatest(F.length(p), F.length(q)))
